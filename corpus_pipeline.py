@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.llm import toxicity
 from weft.llm.common import stored
 from weft.llm.exact_dedup import drop_exact
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it is fitted on the labelled ones among them."""
+    return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each text, the document with the smallest identifier stays."""
     return drop_exact(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+STAGES = [("toxicity", toxic), ("exact_dedup", exact)]
 
 #: SQL can't express the toxicity model's training or the fingerprints; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
