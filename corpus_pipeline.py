@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.llm import toxicity
 from weft.llm.common import stored
 from weft.llm.exact_dedup import drop_exact
+from weft.llm.simhash_dedup import drop_near
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +20,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact(docs)
 
 
-STAGES = [("toxicity", toxic), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest identifier stays."""
+    return drop_near(docs)
+
+
+STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("simhash_near_dedup", near)]
 
 #: SQL can't express the toxicity model's training or the fingerprints; tests/llm holds the stages against brute force.
 ORACLE_SQL = None

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import toxicity
 from .exact_dedup import exact_groups
+from .simhash_dedup import near_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -27,7 +32,7 @@ OP10 = "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS owner_id FROM doc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_toxicity": op6_toxicity, "op10_exact_dedup": op10_exact_dedup}
+    return {"op6_toxicity": op6_toxicity, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
