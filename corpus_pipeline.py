@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.llm import toxicity
 from weft.llm.common import stored
 from weft.llm.exact_dedup import drop_exact
+from weft.llm.mixing import mix
+from weft.llm.packing import pack_documents
 from weft.llm.simhash_dedup import drop_near
 
 
@@ -25,7 +27,23 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near(docs)
 
 
-STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("simhash_near_dedup", near)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that sources, languages and topics have their target shares of the tokens."""
+    return mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs of whole documents; those longer than a pack in consecutive parts."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
 #: SQL can't express the toxicity model's training or the fingerprints; tests/llm holds the stages against brute force.
 ORACLE_SQL = None

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import toxicity
+from .chat_format import CHAT_SQL, format_chats
 from .exact_dedup import exact_groups
+from .mixing import mix, mixing_sql
+from .packing import pack_conversations
 from .simhash_dedup import near_groups
 
 
@@ -15,11 +18,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), report=True)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -31,9 +46,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10 = "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS owner_id FROM documents"
 
 
+OPERATORS = [op2_mixing, op4_packing, op6_toxicity, op7_chat_format, op9_simhash_near_dedup, op10_exact_dedup]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_toxicity": op6_toxicity, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10}
+    """The rest are held against brute force in tests/llm."""
+    return {"op2_mixing": mixing_sql(), "op7_chat_format": CHAT_SQL, "op10_exact_dedup": OP10}
