@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import toxicity
 from .chat_format import CHAT_SQL, format_chats
 from .exact_dedup import exact_groups
+from .html_extract import extract
 from .mixing import mix, mixing_sql
 from .packing import pack_conversations
 from .simhash_dedup import near_groups
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), report=True)
 
@@ -46,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10 = "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS owner_id FROM documents"
 
 
-OPERATORS = [op2_mixing, op4_packing, op6_toxicity, op7_chat_format, op9_simhash_near_dedup, op10_exact_dedup]
+OPERATORS = [op1_html_extraction, op2_mixing, op4_packing, op6_toxicity, op7_chat_format, op9_simhash_near_dedup, op10_exact_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
