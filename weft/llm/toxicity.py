@@ -68,13 +68,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([r[2] for r in rows], [r[1] for r in rows], seed)
 
 
-def _telling(seen, n0: int, n1: int, z: float) -> dict[str, int]:
-    """Features that occur in toxic documents more often than chance explains, by a two-proportion test."""
-    out: dict[str, int] = {}
+def _telling(texts: list[str | None], y: list[int], z: float) -> dict[str, int]:
+    """Features that occur in toxic documents more often than chance explains, by a two-proportion test.
+
+    Only features of three toxic documents and more are counted further, and no document's words are kept.
+    """
+    seen: tuple[dict[str, int], dict[str, int]] = {}, {}
+    for c in (1, 0):
+        for text, label in zip(texts, y):
+            if label == c:
+                words = set(WORD.findall((text or "").lower()))
+                for f in {f for w in words for f in _features(w)}:
+                    if c or f in seen[1]:
+                        seen[c][f] = seen[c].get(f, 0) + 1
+        if c:
+            few = {f: k for f, k in seen[1].items() if k >= 3}
+            seen[1].clear()
+            seen[1].update(few)
+    n1, out = sum(y), {}
+    n0 = len(y) - n1
     for f, k1 in seen[1].items():
         k0 = seen[0].get(f, 0)
         p = (k0 + k1 + 1) / (n0 + n1 + 2)
-        if k1 >= 3 and (k1 / n1 - k0 / n0) >= z * math.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)):
+        if (k1 / n1 - k0 / n0) >= z * math.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)):
             out[f] = len(out)
     return out
 
@@ -85,17 +101,12 @@ def train(texts: list[str | None], y: list[int], seed: int = 7, epochs: int = 40
     if len(set(y)) < 2:
         return ToxicityModel()
     rng = np.random.default_rng(seed)
-    bags = [[words for _, _, words in sentences(t)] for t in texts]
-    seen: tuple[dict[str, int], dict[str, int]] = {}, {}
-    for bag, c in zip(bags, y):
-        mine = seen[int(c)]
-        for f in {f for w in set().union(*bag) for f in _features(w)}:
-            mine[f] = mine.get(f, 0) + 1
-    index = _telling(seen, len(y) - sum(y), sum(y), z)
+    index = _telling(texts, y, z)
     flat, of_sentence, first = [], [], [0]
     total = 0
-    for bag in bags:
-        for words in bag:
+    for text in texts:
+        bag = sentences(text)
+        for _, _, words in bag:
             ids = [index[f] for w in words for f in _features(w) if f in index]
             flat.append(np.array(ids, np.int32))
             of_sentence.append(len(ids))
