@@ -1,3 +1,13 @@
 """weft: a PySpark-native engine for versioned, typed datasets."""
 
+from .api import datasets, delete_dataset, listings, move_dataset, read_csv, read_database, read_hf, read_json, read_pandas, read_parquet, read_records, read_storage, read_values
+from .chain import Chain, DatasetNotFoundError, read_dataset
+from .columns import C
+from .operators.udf import Aggregator, BatchMapper, Generator, Mapper, UserCodeError
+from .plans.catalog import Catalog
+
 __version__ = "0.1.0"
+__all__ = [
+    "Aggregator", "BatchMapper", "C", "Catalog", "Chain", "DatasetNotFoundError", "Generator", "Mapper", "UserCodeError", "datasets", "delete_dataset", "listings", "move_dataset", "read_csv",
+    "read_database", "read_dataset", "read_hf", "read_json", "read_pandas", "read_parquet", "read_records", "read_storage", "read_values",
+]
