@@ -65,9 +65,9 @@ def filter_regexp(t):
     return t("part").filter(C("p_name").regexp("[aeiou]{2}")).select("p_partkey", "p_name")
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 5) AS charge, l_quantity / 2 AS half, 'x' AS tag, l_returnflag AS flag FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 7) AS charge, l_quantity / 2 AS half, 'x' AS tag, l_returnflag AS flag FROM lineitem")
 def mutate_arith_rename(t):
-    c = t("lineitem").mutate(charge=F.round(C("l_extendedprice") * (1 - C("l_discount")) * (1 + C("l_tax")), 5), half=C("l_quantity") / 2, tag="x", flag=C("l_returnflag"))
+    c = t("lineitem").mutate(charge=F.round(C("l_extendedprice") * (1 - C("l_discount")) * (1 + C("l_tax")), 7), half=C("l_quantity") / 2, tag="x", flag=C("l_returnflag"))
     return c.select("l_orderkey", "l_linenumber", "charge", "half", "tag", "flag")
 
 
