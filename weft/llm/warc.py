@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import col, scratch, stored
 
-ROLL_BYTES, SHARD_BYTES, SAMPLES, LEVEL = 1 << 28, 1 << 30, 64, 6
+ROLL_BYTES, SHARD_BYTES, SAMPLES, LEVEL = 1 << 27, 1 << 28, 16, 6
 DATE, NULL_URI = "1970-01-01T00:00:00Z", "urn:weft:null"
 INDEX = "page_id long, url string, file string, position long, length long, digest string, temp string"
 _SPACE = uuid.UUID("5c0a1d5e-8a63-5f0e-9d3b-0c7e6f1a2b44")
