@@ -3,7 +3,8 @@
 Token counts are summed by cell (source, language, topic); raking multiplies the cells, in turn and for a fixed
 number of rounds, so that each marginal meets its target share. A cell's factor is its fitted over its observed
 tokens; its documents are kept with probability factor / largest factor, so the scarcest cell stays whole and the
-expected tokens have the target shares. A document's draw is a hash of its identifier: the same in every run.
+expected tokens have the target shares. A document's draw is a hash of its identifier: the same in every run. Rates
+fitted in the driver go to the documents by broadcast, those fitted on tables by a join.
 
 Targets are shares by value of a dimension; those left out are the observed shares to the power ``temperature``,
 renormalised. Values a given target doesn't name get nothing; named values that don't occur are left out of the
@@ -87,7 +88,8 @@ def cell_rates(cells: DataFrame, targets: dict[str, dict] | None = None, rounds:
     factor = np.divide(fitted, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
     top = factor.max() if len(factor) and factor.max() > 0 else 1.0
     rows = [(*(None if v is None or v != v else v for v in (r.source, r.lang, r.topic)), float(f / top) if t > 0 else 1.0) for r, f, t in zip(got.itertuples(), factor, tokens)]
-    return cells.sparkSession.createDataFrame(rows, "source string, lang string, topic string, prob double")
+    # at most max_cells rows; unhinted, the documents would be shuffled before the planner sees how few they are
+    return F.broadcast(cells.sparkSession.createDataFrame(rows, "source string, lang string, topic string, prob double"))
 
 
 def _rates_on_tables(cells: DataFrame, targets: dict, rounds: int, temperature: float) -> DataFrame:
