@@ -33,6 +33,8 @@ from .common import col, components, named, stored
 
 LANES, LANE_BITS, BITS = 10, 36, 384
 MAX_DISTANCE = 56
+#: Up to so many dropped identifiers (16 bytes each) go to the documents by broadcast, beyond it both are shuffled.
+MAX_BROADCAST = 4_000_000
 WORD = re.compile(r"\w+")
 _STEPS = (np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
@@ -172,9 +174,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return ids.join(roots, ids.doc_id == roots.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
 
 
-def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The rows of ``df`` whose document leads its group; rows without an identifier stay."""
     (gone,) = named(df, "gone")
     prints = stored(fingerprints(df, id_col, text_col), "prints")
-    roots = components(near_edges(prints, max_distance)).where("node <> root").select(F.col("node").alias(gone))
+    roots = stored(components(near_edges(prints, max_distance)).where("node <> root").select(F.col("node").alias(gone)), "gone")
+    if roots.count() <= max_broadcast:
+        roots = F.broadcast(roots)
     return df.join(roots, col(id_col).cast("long") == F.col(gone), "left_anti")
