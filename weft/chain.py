@@ -176,7 +176,7 @@ class Chain:
         for n in names:
             schemas.field_type(self._df.schema, n)
         own = self._settled()
-        keep = ["sys"] if "sys" in own._df.columns and "sys" not in names else []
+        keep = ["sys"] if "sys" in own._df.columns and "sys" not in {n.split(".")[0] for n in names} else []
         return own._next(own._df.select(*keep, *schemas.nested(list(names), F.col)))
 
     @step

@@ -14,8 +14,8 @@ RESOLUTION = 2**31 - 1
 
 
 def rand_of(row_number: Column) -> Column:
-    """A linear congruential step of the row number."""
-    return row_number.cast("long") * F.lit(1103515245).cast("long") + F.lit(12345).cast("long")
+    """A hash of the row number, from 0; a linear congruential step would put all rows in one chunk of three."""
+    return F.xxhash64(row_number.cast("long")).bitwiseAND(F.lit(2**63 - 1))
 
 
 def with_sys(df: DataFrame, order: list[Column] | None = None) -> DataFrame:

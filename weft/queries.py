@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import functions as fn
 from .chain import Chain, read_dataset
 from .columns import C
-from .operators.rows import rand_of, split_conditions
+from .operators.rows import split_conditions
 from .plans.catalog import Catalog
 from .sources.listing import directories, du, find, ls
 from .storage import shared_dir
@@ -316,7 +316,7 @@ _RAND = "(o_orderkey * 1103515245 + 12345)"
 
 @query(f"SELECT o_orderkey, CASE WHEN {_RAND} % 2147483647 < round(0.7 * 2147483647) THEN 'train' ELSE 'test' END AS part FROM orders")
 def train_test_split(t):
-    base = t("orders").mutate(r=rand_of(F.col("o_orderkey")))
+    base = t("orders").mutate(r=C("o_orderkey") * 1103515245 + 12345)
     train, test = (base.filter(c) for c in split_conditions(F.col("r"), [0.7, 0.3]))
     return (train.mutate(part="train") | test.mutate(part="test")).select("o_orderkey", "part")
 
