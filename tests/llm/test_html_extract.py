@@ -91,3 +91,16 @@ def test_empty_table_and_very_long_page(spark):
     df = spark.createDataFrame([(1, "http://x/", long, 1, ""), (2, "http://x/", "<p>" + " ".join(f"t{i}" for i in range(100, 120)), 1, "")], SCHEMA)
     got = {r.page_id: r for r in h.extract(df).collect()}
     assert got[2].n_removed == 20 and got[1].n_removed == 20 and got[1].text.count("\n") == 1
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_chance_repeats_of_a_rank_stay(spark, limit):
+    texts = ["w264 w871 w270 w289 w779 w425 w414 w382", "w622 w174 w90 w353 w998 w626 w512 w596"]
+    ranks = [h.prefix_ranks(np.array([h.xxhash.xxh3_64_intdigest(t) for t in x.split()], np.uint64), "x", 8).tolist() for x in texts]
+    assert ranks[0] == ranks[1]  # two windows of one rank, found by search
+    rows = [(i, "http://x/", "<p>" + texts[j], 1, "") for i, j in enumerate([0, 1])]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    assert [r.n_removed for r in h.extract(df, max_broadcast=limit).collect()] == [0, 0]
+    # where one of the two is really repeated, only it goes
+    df = spark.createDataFrame([*rows, (2, "http://x/", "<p>" + texts[0], 1, "")], SCHEMA).repartition(3)
+    assert {r.page_id: r.n_removed for r in h.extract(df, max_broadcast=limit).collect()} == {0: 8, 1: 0, 2: 8}

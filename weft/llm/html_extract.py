@@ -1,16 +1,20 @@
-"""HTML extraction by host suffix arrays.
+"""HTML extraction: what repeats between pages of a host is boilerplate and goes.
 
-The visible tokens of a host's pages are one concatenated stream, a boundary after each page. Of its suffix array
-only the order by the first ``min_tokens`` tokens matters here: suffixes next to each other that agree on them and
-start in distinct pages are a long repeated substring. That order is built by prefix doubling: the rank of 2m tokens
-is mixed from the ranks of the two halves. As pages of one host lie in many tasks and one host may outgrow any of
-them, ranks are fingerprints salted by host, which tasks agree on without a common sort; the array is sharded by
-rank, each shard sorted by itself, so a hot host spreads over all shards. Shards return the ranks that occur in two
-pages and more; every token under such a rank is boilerplate and goes, and the unique runs between stay.
+The visible tokens of a host's pages are one concatenated stream, a boundary after each page. Windows of
+``min_tokens`` tokens that occur in two pages are long repeated substrings; a suffix array's order by the first
+``min_tokens`` tokens would bring them together. No suffix array is built: hashed windows replace it. A window's rank
+is a fingerprint salted by host, mixed from those of its halves, which tasks agree on without a common sort; ranks
+are sharded by value, each shard sorted by itself, so a hot host spreads over all shards. Shards return the ranks that
+occur in two pages and more.
 
-A batch sends its ranks sorted, each once, as differences: about four bytes a token. Ranks have 48 bits; among n
-windows of one host some n * n / 2**49 chance pairs are expected (one window in five million of a host that has ten
-billion). The repeated ranks go to the tasks by broadcast up to ``max_broadcast`` bytes, and by a join beyond it.
+Ranks only screen. They have 48 bits, and all hosts share them: of n windows of the whole table, some n * n / 2**49
+pairs agree by chance (about 57,000 for 4e9 windows). So each window with a repeated rank is confirmed by its host and
+tokens; those that no second page has in full are ``rejected`` and stay. Every token under a confirmed window is
+boilerplate; the unique runs between stay.
+
+A batch sends its ranks sorted, each once, as differences: about four bytes a token; and of the windows to confirm,
+each distinct one once in ``MAX_KEYS``. The repeated ranks go to the tasks by broadcast up to ``max_broadcast`` bytes,
+and by a join beyond it; the rejected windows, as many as chance makes, always by broadcast.
 
 Defined results: a null or empty page has no tokens and the text ''; a null url's host is ''; every row is a page of
 its own, so equal rows repeat each other, whatever their identifiers; a page shorter than ``min_tokens`` is never
@@ -32,6 +36,7 @@ from .common import col, stored
 
 MIN_TOKENS, RANK_BITS = 8, 48
 MAX_BROADCAST = 128 << 20
+MAX_KEYS = 300_000
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|small|big|code|font|mark|sub|sup|abbr|s|q|tt)(?:\s[^>]*)?/?>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
@@ -153,6 +158,41 @@ def _batch_of(rows):
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["page_id", "host", "n_tokens", "n_removed", "text"])
 
 
+def window_key(host: str, tokens: list[str], at: int, k: int) -> str:
+    """Host and tokens of a window; tokens hold no white space, so distinct windows have distinct keys."""
+    return host + "\n" + " ".join(tokens[at : at + k])
+
+
+def _keys(pages, k: int):
+    """Batches of (key, pages) from (host, tokens, hits): each key once a batch, pages 2 where more have it."""
+    seen: dict[str, int] = {}
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int32())], names=["key", "pages"])
+
+    for host, tokens, hits in pages:
+        for key in {window_key(host, tokens, a, k) for a in hits.tolist()}:
+            seen[key] = 2 if key in seen else 1
+        if len(seen) > MAX_KEYS:  # between pages, so that none counts twice
+            yield batch()
+            seen.clear()
+    if seen:
+        yield batch()
+
+
+def _rejected(keys: DataFrame) -> frozenset[str]:
+    """The windows whose rank is repeated and that no second page has."""
+    once = keys.groupBy("key").agg(F.sum("pages").alias("n")).where("n < 2")
+    return frozenset(r.key for r in once.select("key").collect())
+
+
+def _confirmed(hits: np.ndarray, host: str, tokens: list[str], k: int, rejected: frozenset[str]) -> np.ndarray:
+    """Of the positions with a repeated rank, those whose window another page really has."""
+    if not rejected:
+        return hits
+    return np.array([a for a in hits.tolist() if window_key(host, tokens, a, k) not in rejected], np.int64)
+
+
 def extract(df: DataFrame, min_tokens: int = MIN_TOKENS, page_id: str = "page_id", url: str = "url", page: str = "html", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(page_id, host, n_tokens, n_removed, text) for every page; the unique runs of a text are its lines."""
     spark, k = df.sparkSession, min_tokens
@@ -166,13 +206,26 @@ def extract(df: DataFrame, min_tokens: int = MIN_TOKENS, page_id: str = "page_id
     rows = sorted(found.collect(), key=lambda r: r.shard)
     known_ranks = spark.sparkContext.broadcast(b"".join(bytes(r.ranks) for r in rows))
 
+    def pages_of(batch, known):
+        repeated = np.frombuffer(known_ranks.value, np.uint64)
+        for host, tokens, ranks in _pages(batch, k, known):
+            at = np.searchsorted(repeated, ranks)
+            hit = repeated[np.minimum(at, len(repeated) - 1)] == ranks if len(repeated) else np.zeros(len(ranks), bool)
+            yield host, tokens, np.flatnonzero(hit)
+
+    def keys(batches):
+        known = _Ids()
+        yield from _keys((page for batch in batches for page in pages_of(batch, known)), k)
+
+    rejected = spark.sparkContext.broadcast(_rejected(slim.mapInArrow(keys, "key string, pages int")))
+
     def run(batches):
-        repeated, known = np.frombuffer(known_ranks.value, np.uint64), _Ids()
+        known = _Ids()
         for batch in batches:
             out = []
-            for i, (host, tokens, ranks) in zip(batch.column(0).to_pylist(), _pages(batch, k, known)):
-                at = np.searchsorted(repeated, ranks)
-                hit = repeated[np.minimum(at, len(repeated) - 1)] == ranks if len(repeated) else np.zeros(len(ranks), bool)
+            for i, (host, tokens, hits) in zip(batch.column(0).to_pylist(), pages_of(batch, known)):
+                hit = np.zeros(max(0, len(tokens) - k + 1), np.int32)
+                hit[_confirmed(hits, host, tokens, k, rejected.value)] = 1
                 out.append(_row(i, host, tokens, covered(hit, k, len(tokens))))
             yield _batch_of(out)
 
@@ -200,13 +253,21 @@ def _extract_by_join(slim: DataFrame, found: DataFrame, k: int) -> DataFrame:
     wide = stored(wide.withColumn("row", F.monotonically_increasing_id()), "pages")
     repeated = found.select("ranks").mapInArrow(ranks, "rank long")
     hits = wide.select("row", F.posexplode("ranks").alias("at", "rank")).join(repeated, "rank", "left_semi").groupBy("row").agg(F.collect_list("at").alias("hits"))
+    hits = stored(hits, "hits")
+
+    def keys(batches):
+        pages = (r for batch in batches for r in batch.to_pylist())
+        yield from _keys(((r["host"], r["tokens"], np.array(r["hits"], np.int64)) for r in pages), k)
+
+    candidates = wide.join(hits, "row").select("host", "tokens", "hits")
+    rejected = slim.sparkSession.sparkContext.broadcast(_rejected(candidates.mapInArrow(keys, "key string, pages int")))
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 hit = np.zeros(max(0, len(r["tokens"]) - k + 1), np.int32)
-                hit[r["hits"] or []] = 1
+                hit[_confirmed(np.array(r["hits"] or [], np.int64), r["host"], r["tokens"], k, rejected.value)] = 1
                 out.append(_row(r["page_id"], r["host"], r["tokens"], covered(hit, k, len(r["tokens"]))))
             yield _batch_of(out)
 
