@@ -70,3 +70,32 @@ def test_nulls_repeats_empty_texts_and_columns(spark):
     assert sum(r.doc_id == 1 for r in got) == 2 and any(r.doc_id == 2 for r in got)
     assert {r.topic for r in m.mix(df, report=True).where("doc_id = 1").collect()} == {"none"}
     assert m.mix(df.limit(0)).collect() == [] and m.mix(df.limit(0), max_cells=-1).collect() == []
+
+
+def test_a_stray_document_does_not_set_the_scale(spark):
+    rows = corpus()
+    stray = (9999, " ".join(["w"] * 10), None, "a", "p", 1)
+    size = lambda got: sum(len(r.text.split()) for r in got)
+    kept = {}
+    for name, data in (("plain", rows), ("stray", [*rows, stray])):
+        df = spark.createDataFrame(data, SCHEMA).repartition(4)
+        for cells in (m.MAX_CELLS, 0):
+            got = m.mix(df, negligible=m.NEGLIGIBLE, max_cells=cells).collect()
+            kept[name, cells] = {r.doc_id for r in got}, size(got)
+        assert kept[name, 0] == kept[name, m.MAX_CELLS]
+    assert kept["stray", 0][1] > 0.95 * kept["plain", 0][1] and 9999 in kept["stray", 0][0]
+    assert size(m.mix(spark.createDataFrame([*rows, stray], SCHEMA)).collect()) < 0.8 * kept["stray", 0][1]
+
+
+def test_shares_stay_within_the_bound_of_negligible_cells():
+    rng = np.random.default_rng(3)
+    code = rng.integers(0, 5, 200)
+    tokens, fitted = rng.integers(1, 10**6, 200).astype(float), rng.integers(1, 10**6, 200).astype(float)
+    for negligible in (0.0, 0.01, 0.2):
+        factor = fitted / tokens
+        top = m.scale(factor, fitted, negligible)
+        kept = tokens * np.minimum(1, factor / top)
+        assert fitted[factor > top].sum() <= negligible * fitted.sum()
+        off = np.bincount(code, kept) / kept.sum() - np.bincount(code, fitted) / fitted.sum()
+        assert abs(off).max() <= negligible / (1 - negligible) + 1e-12
+    assert m.scale(factor, fitted, 0.0) == factor.max()

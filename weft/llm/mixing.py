@@ -3,7 +3,11 @@
 Token counts are summed by cell (source, language, topic); raking multiplies the cells, in turn and for a fixed
 number of rounds, so that each marginal meets its target share. A cell's factor is its fitted over its observed
 tokens; its documents are kept with probability factor / largest factor, so the scarcest cell stays whole and the
-expected tokens have the target shares. A document's draw is a hash of its identifier: the same in every run. Rates
+expected tokens have the target shares. One stray document in a rare cell can so set how much of the whole corpus
+stays; with ``negligible`` above 0, rates are divided instead by the least factor whose larger ones belong to cells
+that together hold at most that share of the fitted tokens. Those cells stay whole and fall short of their fit by
+no more than they were to have, so each value's expected share is within negligible / (1 - negligible) of the one
+fitted. A document's draw is a hash of its identifier: the same in every run. Rates
 fitted in the driver go to the documents by broadcast, those fitted on tables by a join.
 
 Targets are shares by value of a dimension; those left out are the observed shares to the power ``temperature``,
@@ -19,12 +23,14 @@ share their draw; an empty table gives no rows. Columns of the input pass unchan
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, named, stored
 
 ROUNDS, TEMPERATURE, MAX_CELLS = 20, 0.9, 500_000
+#: Share of the fitted tokens whose cells don't set the pipeline's scale; ``mix`` itself takes 0, as its SQL does.
+NEGLIGIBLE = 0.01
 DIMS = ("source", "lang", "topic")
 
 
@@ -68,12 +74,21 @@ def rake(codes: list[np.ndarray], tokens: np.ndarray, goals: list[np.ndarray], r
     return w
 
 
-def cell_rates(cells: DataFrame, targets: dict[str, dict] | None = None, rounds: int = ROUNDS, temperature: float = TEMPERATURE, max_cells: int = MAX_CELLS) -> DataFrame:
+def scale(factor: np.ndarray, fitted: np.ndarray, negligible: float) -> float:
+    """The least factor above which cells hold at most the negligible share of the fitted tokens; 1 if none is."""
+    values, at = np.unique(factor, return_inverse=True)
+    held = np.bincount(at, fitted, len(values)) if len(values) else np.zeros(0)
+    above = np.cumsum(held[::-1])[::-1] - held
+    fit = values[(values > 0) & (above <= negligible * fitted.sum())]
+    return float(fit.min()) if len(fit) else 1.0
+
+
+def cell_rates(cells: DataFrame, targets: dict[str, dict] | None = None, rounds: int = ROUNDS, temperature: float = TEMPERATURE, max_cells: int = MAX_CELLS, negligible: float = 0.0) -> DataFrame:
     """(source, lang, topic, prob) from (source, lang, topic, t): the rate at which a cell's documents are kept."""
     targets = targets or {}
     cells = stored(cells, "cells")
     if cells.count() > max_cells:
-        return _rates_on_tables(cells, targets, rounds, temperature)
+        return _rates_on_tables(cells, targets, rounds, temperature, negligible)
     got = cells.toPandas().sort_values(list(DIMS), na_position="first", kind="stable").reset_index(drop=True)
     tokens = got["t"].to_numpy(np.int64)
     codes, goals = [], []
@@ -86,13 +101,13 @@ def cell_rates(cells: DataFrame, targets: dict[str, dict] | None = None, rounds:
         goals.append(shares(list(index), sums, targets.get(d), temperature))
     fitted = rake(codes, tokens, goals, rounds) if len(tokens) else tokens.astype(float)
     factor = np.divide(fitted, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
-    top = factor.max() if len(factor) and factor.max() > 0 else 1.0
-    rows = [(*(None if v is None or v != v else v for v in (r.source, r.lang, r.topic)), float(f / top) if t > 0 else 1.0) for r, f, t in zip(got.itertuples(), factor, tokens)]
+    top = scale(factor, fitted, negligible) if negligible else factor.max() if len(factor) and factor.max() > 0 else 1.0
+    rows = [(*(None if v is None or v != v else v for v in (r.source, r.lang, r.topic)), min(1.0, float(f / top)) if t > 0 else 1.0) for r, f, t in zip(got.itertuples(), factor, tokens)]
     # at most max_cells rows; unhinted, the documents would be shuffled before the planner sees how few they are
     return F.broadcast(cells.sparkSession.createDataFrame(rows, "source string, lang string, topic string, prob double"))
 
 
-def _rates_on_tables(cells: DataFrame, targets: dict, rounds: int, temperature: float) -> DataFrame:
+def _rates_on_tables(cells: DataFrame, targets: dict, rounds: int, temperature: float, negligible: float) -> DataFrame:
     """The steps of ``rake`` on tables, for more cells than a driver should hold; lineage is cut each round."""
     now = cells.withColumn("w", F.col("t").cast("double"))
     total = float(cells.agg(F.sum("t")).first()[0] or 0)
@@ -113,16 +128,22 @@ def _rates_on_tables(cells: DataFrame, targets: dict, rounds: int, temperature:
             now = now.join(sums, F.col(d).eqNullSafe(F.col("v")), "left").withColumn("w", F.when(F.col("s") > 0, F.col("w") * F.col(f"goal_{d}") / F.col("s")).otherwise(0.0)).drop("v", "s")
         now = stored(now, "cells")
     rated = now.withColumn("f", F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(0.0))
-    top = rated.agg(F.max("f").alias("top"))
-    return rated.crossJoin(top).select(*DIMS, F.when(F.col("t") > 0, F.when(F.col("top") > 0, F.col("f") / F.col("top")).otherwise(0.0)).otherwise(1.0).alias("prob"))
+    if negligible:
+        held = rated.where("f > 0").groupBy("f").agg(F.sum("w").alias("held"))
+        above = F.coalesce(F.sum("held").over(Window.orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        limit = negligible * (rated.agg(F.sum("w")).first()[0] or 0.0)
+        top = held.withColumn("above", above).where(F.col("above") <= limit).agg(F.min("f").alias("top"))
+    else:
+        top = rated.agg(F.max("f").alias("top"))
+    return rated.crossJoin(top).select(*DIMS, F.when(F.col("t") > 0, F.when(F.col("top") > 0, F.least(F.col("f") / F.col("top"), F.lit(1.0))).otherwise(0.0)).otherwise(1.0).alias("prob"))
 
 
-def mix(df: DataFrame, targets: dict[str, dict] | None = None, source: str = "source", lang: str = "lang", text: str = "text", topic: Column | None = None, identifier: str = "doc_id", rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0, max_cells: int = MAX_CELLS, report: bool = False) -> DataFrame:
+def mix(df: DataFrame, targets: dict[str, dict] | None = None, source: str = "source", lang: str = "lang", text: str = "text", topic: Column | None = None, identifier: str = "doc_id", rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0, max_cells: int = MAX_CELLS, report: bool = False, negligible: float = 0.0) -> DataFrame:
     """The sampled rows of ``df`` in its own columns or, as a report, (doc_id, source, lang, topic, tokens, prob)."""
     s, g, p, t, prob = named(df, "source", "lang", "topic", "tokens", "prob")
     keys = df.withColumns({s: col(source).cast("string"), g: col(lang).cast("string"), p: topic_of(col(text)) if topic is None else topic})
     cells = keys.groupBy(F.col(s).alias("source"), F.col(g).alias("lang"), F.col(p).alias("topic")).agg(F.sum(tokens_of(col(text))).alias("t"))
-    rates = cell_rates(cells, targets, rounds, temperature, max_cells).select(F.col("source").alias("r_s"), F.col("lang").alias("r_l"), F.col("topic").alias("r_t"), F.col("prob").alias(prob))
+    rates = cell_rates(cells, targets, rounds, temperature, max_cells, negligible).select(F.col("source").alias("r_s"), F.col("lang").alias("r_l"), F.col("topic").alias("r_t"), F.col("prob").alias(prob))
     rated = keys.join(rates, F.col(s).eqNullSafe(F.col("r_s")) & F.col(g).eqNullSafe(F.col("r_l")) & F.col(p).eqNullSafe(F.col("r_t")))
     kept = rated.where(draw(col(identifier), seed) < F.col(prob))
     if report:
