@@ -80,3 +80,33 @@ def test_repeated_rows_null_counts_and_empty_table(spark):
     packs = p.pack(df, p.Limits(4, 4, 4), F.col("doc_id"), F.col("t"), F.col("s"), F.lit(0)).collect()
     assert sorted((i or 0 for r in packs for i in r.doc_ids)) == [0, 7, 7]
     assert p.pack_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_parts_of_a_conversation_carry_the_loss_they_hold(spark):
+    rows = [(1, 1, "assistant", "a " * 40), (1, 0, "user", "u " * 40), (2, 0, "user", "u " * 25), (2, 1, "assistant", "a " * 10), (2, 2, "user", "u " * 10), (3, 0, "assistant", "a " * 70)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    packs = p.pack_conversations(df, p.Limits(40, 1, 30)).collect()
+    got = sorted((r.doc_ids[0], r.parts[0], r.tokens, r.loss_tokens) for r in packs)
+    assert got == [(1, 0, 40, 0), (1, 1, 20, 20), (1, 2, 20, 20), (2, 0, 35, 10), (2, 1, 10, 0), (3, 0, 23, 23), (3, 1, 23, 23), (3, 2, 24, 24)]
+
+
+def test_turns_are_cut_within_the_limits():
+    rng = random.Random(4)
+    for _ in range(300):
+        limits = p.Limits(rng.randint(1, 20), 1, rng.randint(1, 20))
+        tokens = [rng.choice([0, 1, 3, 10, 50]) for _ in range(rng.randint(1, 8))]
+        bears = [rng.random() < 0.5 for _ in tokens]
+        flat = [b for n, b in zip(tokens, bears) for _ in range(n)]
+        at = 0
+        for t, x in p.turn_parts(tokens, bears, limits):
+            assert t <= limits.tokens and x <= limits.loss_tokens and x == sum(flat[at : at + t])
+            at += t
+        assert at == sum(tokens)
+
+
+def test_every_part_counts_as_a_segment(spark):
+    df = spark.createDataFrame([(1, "w " * 95)], "doc_id long, text string")
+    packs = p.pack_documents(df, p.Limits(10, 1, 10)).collect()
+    assert all(r.segments == len(r.doc_ids) == 1 for r in packs) and sum(r.tokens for r in packs) == 95
+    few = spark.createDataFrame([(i, "w " * 21) for i in range(6)], "doc_id long, text string")
+    assert all(r.segments == len(r.doc_ids) <= 2 for r in p.pack_documents(few, p.Limits(20, 2, 8)).collect())

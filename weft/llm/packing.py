@@ -6,12 +6,15 @@ of the examples that fit, the one with the largest dot product of its demand and
 dimension as a share of its limit and weighted by the shard's mean demand (Panigrahy et al., 2011); when none fits,
 the next pack opens. Ties go to the smaller identifier, then part.
 
-An example beyond a limit is cut into the fewest consecutive parts that all limits allow, of even size; a part that
-loss-bearing tokens are counted for takes its even share of them. Nothing is truncated: the parts add up to the
-example.
-
-Defined results: null counts are 0; null identifiers are packed like others; repeated rows are examples of their
-own; an example without tokens still takes its segments; an empty table gives no packs.
+An example beyond a limit is cut into consecutive parts. Of a conversation each part is a run of whole turns, as many
+as the limits allow, and a turn that is beyond a limit by itself is cut into the fewest even parts of its own; so a
+part carries the loss-bearing tokens that stand in it. Turns go by (turn, role, text), nulls first. Other examples,
+of which only counts are known, are cut into the fewest parts of even size, each with an even share of every count.
+Nothing is truncated: the parts' tokens and loss-bearing tokens add up to the example's. A part is a segment of its
+pack and counts as at least one.
+
+Defined results: null tokens and loss-bearing tokens are 0; null identifiers are packed like others; repeated rows are
+examples of their own; an example without tokens or segments still takes one segment; an empty table gives no packs.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,14 +80,36 @@ def parts_of(items: DataFrame, limits: Limits) -> DataFrame:
     def cut(c: str) -> Column:
         return (F.floor((F.col("part") + 1) * F.col(c) / F.col("n")) - F.floor(F.col("part") * F.col(c) / F.col("n"))).alias(c)
 
-    return items.withColumn("n", need).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("id", F.col("part").cast("int").alias("part"), cut("tokens"), cut("segments"), cut("loss"))
+    return items.withColumn("n", need).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("id", F.col("part").cast("int").alias("part"), cut("tokens"), F.greatest(cut("segments"), F.lit(1).cast("long")).alias("segments"), cut("loss"))
+
+
+def turn_parts(tokens: list[int], trained: list[bool], limits: Limits) -> list[tuple[int, int]]:
+    """(tokens, loss-bearing tokens) of the consecutive parts of a conversation, from those of its turns in order."""
+    parts, t, x = [], 0, 0
+    for n, bears in zip(tokens, trained):
+        loss = n if bears else 0
+        if t and (t + n > limits.tokens or x + loss > limits.loss_tokens):
+            parts.append((t, x))
+            t, x = 0, 0
+        pieces = max(1, -(-n // limits.tokens), -(-loss // limits.loss_tokens))
+        for k in range(pieces - 1):
+            size = (k + 1) * n // pieces - k * n // pieces
+            parts.append((size, size if bears else 0))
+        last = n - (pieces - 1) * n // pieces
+        t, x = t + last, x + (last if bears else 0)
+    return [*parts, (t, x)] if t or not parts else parts
 
 
 def pack(df: DataFrame, limits: Limits, identifier: Column, tokens: Column, segments: Column, loss: Column, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """One row a pack: its parts of examples in the order placed, and the sums that the limits hold for."""
     clean = lambda c: F.greatest(F.coalesce(c.cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long"))
     items = df.select(identifier.cast("long").alias("id"), clean(tokens).alias("tokens"), clean(segments).alias("segments"), clean(loss).alias("loss"))
-    parts = stored(parts_of(items, limits), "examples")
+    return pack_parts(parts_of(items, limits), limits, shard_items)
+
+
+def pack_parts(parts: DataFrame, limits: Limits, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """The packs of (id, part, tokens, segments, loss), each part within the limits."""
+    parts = stored(parts, "examples")
     shards = max(1, -(-parts.count() // shard_items))
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("id", "part"), F.lit(shards)))
     limit = limits.array()
@@ -107,8 +133,23 @@ def pack_conversations(df: DataFrame, limits: Limits = Limits(), trained: str =
     Turns without a conversation's identifier are left out.
     """
     words = tokens_of(col("text"))
-    by = df.where(col("conv_id").isNotNull()).groupBy(col("conv_id").alias("id")).agg(F.sum(words).alias("tokens"), F.sum(F.when(col("role") == trained, words)).alias("loss"))
-    return pack(by, limits, F.col("id"), F.col("tokens"), F.lit(1), F.col("loss"), shard_items)
+    bears = F.coalesce(col("role") == trained, F.lit(False))
+    turns = df.where(col("conv_id").isNotNull()).select(col("conv_id").alias("id"), col("turn").alias("turn"), F.coalesce(col("role"), F.lit("unknown")).alias("role"), F.coalesce(col("text"), F.lit("")).alias("text"), words.alias("tokens"), bears.alias("bears"))
+    by = stored(turns.groupBy("id").agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("bears"), F.col("tokens")).otherwise(0)).alias("loss")), "conversations")
+    beyond = (F.col("tokens") > limits.tokens) | (F.col("loss") > limits.loss_tokens)
+    whole = by.where(~beyond).select(F.col("id").cast("long").alias("id"), F.lit(0).alias("part"), "tokens", F.lit(1).cast("long").alias("segments"), "loss")
+    said = F.struct("turn", "role", "text", "tokens", "bears")
+    # texts are shuffled only of the conversations to cut, for the order of their turns
+    long = turns.join(by.where(beyond).select("id"), "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(said)).alias("turns"))
+    long = long.select(F.col("id").cast("long").alias("id"), F.col("turns.tokens").alias("tokens"), F.col("turns.bears").alias("bears"))
+
+    def cut(batches):
+        for batch in batches:
+            rows = [(i, k, t, 1, x) for i, tokens, bear in zip(*(c.to_pylist() for c in batch.columns)) for k, (t, x) in enumerate(turn_parts(tokens, bear, limits))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["id", "part", "tokens", "segments", "loss"])
+
+    parts = whole.unionByName(long.mapInArrow(cut, "id long, part int, tokens long, segments long, loss long"))
+    return pack_parts(parts, limits, shard_items)
 
 
 def pack_documents(df: DataFrame, limits: Limits = Limits(8192, 32, 8192), shard_items: int = SHARD_ITEMS) -> DataFrame:
