@@ -3,8 +3,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
+from weft.llm import common
 from weft.llm import simhash_dedup as s
 
 
@@ -116,3 +118,10 @@ def test_sets_that_straddle_batches():
     for size in (1, 3, 50, 200):
         batches = [pa.RecordBatch.from_arrays([pa.array(v[i : i + size]), pa.array(r[i : i + size])], names=["variant", "rep"]) for i in range(0, 200, size)]
         assert {tuple(x) for b in s._met(batches) for x in b.column(0).to_pylist()} == whole
+
+
+def test_components_raise_unless_they_converge(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
+    with pytest.raises(RuntimeError, match="converge"):
+        common.components(chain, rounds=1)
+    assert {r.root for r in common.components(chain).collect()} == {0}

@@ -76,8 +76,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """Connected components of an undirected graph: (node, root), root the least node of its component.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014); each round is written to the
-    shared folder, and the loop ends when neither step changes an edge. Edges with a null end are ignored;
-    a loop keeps its node. An empty edge table gives an empty result.
+    shared folder, and the loop ends when neither step changes an edge; if ``rounds`` don't
+    suffice, it raises. Edges with a null end are ignored; a loop keeps its node. An empty edge table gives an empty
+    result.
     """
     start = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
     nodes_alone = start.where("u = v").select("u", "v").distinct()
@@ -106,6 +107,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         seen, mark = mark, _mark(e)
         if mark == seen:
             break
+    else:
+        if mark[0]:
+            raise RuntimeError(f"components did not converge in {rounds} rounds")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     own = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     rest = loops.select(F.col("u").alias("node"), F.col("v").alias("root"))
