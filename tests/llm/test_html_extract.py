@@ -54,13 +54,13 @@ def corpus(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("pieces", [{}, {"piece_tokens": 150}, {"part_bytes": 4000}, {"part_bytes": 3000, "piece_tokens": 60, "samples": 9}])
 @pytest.mark.parametrize("k", [3, 8])
-def test_equals_a_suffix_array_by_sorting(spark, limit, k):
+def test_equals_a_suffix_array_by_sorting(spark, pieces, k):
     rows = [*corpus(), (100, None, None, 1, "x"), (101, "https://a.example.org/", "", 1, "x"), (None, "nonsense", "<p>lonely words only", 1, "x")]
     rows += [rows[3], rows[3]]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = sorted((tuple(r) for r in h.extract(df, k, max_broadcast=limit).collect()), key=str)
+    got = sorted((tuple(r) for r in h.extract(df, k, **pieces).collect()), key=str)
     assert got == brute(rows, k)
     assert any(r[3] for r in got) and any(r[2] - r[3] for r in got)
 
@@ -93,14 +93,35 @@ def test_empty_table_and_very_long_page(spark):
     assert got[2].n_removed == 20 and got[1].n_removed == 20 and got[1].text.count("\n") == 1
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_chance_repeats_of_a_rank_stay(spark, limit):
+@pytest.mark.parametrize("pieces", [{}, {"piece_tokens": 8}])
+def test_chance_repeats_of_a_rank_stay(spark, pieces):
     texts = ["w264 w871 w270 w289 w779 w425 w414 w382", "w622 w174 w90 w353 w998 w626 w512 w596"]
     ranks = [h.prefix_ranks(np.array([h.xxhash.xxh3_64_intdigest(t) for t in x.split()], np.uint64), "x", 8).tolist() for x in texts]
     assert ranks[0] == ranks[1]  # two windows of one rank, found by search
     rows = [(i, "http://x/", "<p>" + texts[j], 1, "") for i, j in enumerate([0, 1])]
     df = spark.createDataFrame(rows, SCHEMA).repartition(2)
-    assert [r.n_removed for r in h.extract(df, max_broadcast=limit).collect()] == [0, 0]
+    assert [r.n_removed for r in h.extract(df, **pieces).collect()] == [0, 0]
     # where one of the two is really repeated, only it goes
     df = spark.createDataFrame([*rows, (2, "http://x/", "<p>" + texts[0], 1, "")], SCHEMA).repartition(3)
-    assert {r.page_id: r.n_removed for r in h.extract(df, max_broadcast=limit).collect()} == {0: 8, 1: 0, 2: 8}
+    assert {r.page_id: r.n_removed for r in h.extract(df, **pieces).collect()} == {0: 8, 1: 0, 2: 8}
+
+
+def test_hosts_do_not_repeat_each_other_and_hot_hosts_are_cut(spark):
+    same = "<p>" + " ".join(f"t{i}" for i in range(30))
+    apart = [(i, f"http://h{i}.org/", same, 1, "") for i in range(40)]
+    assert sum(r.n_removed for r in h.extract(spark.createDataFrame(apart, SCHEMA).repartition(4)).collect()) == 0
+    hot = [(i, "http://hot.org/", f"<p>own{i} " * 12 + same, 1, "") for i in range(200)]
+    got = h.extract(spark.createDataFrame(hot + apart, SCHEMA).repartition(4), piece_tokens=300, part_bytes=4000).collect()
+    assert {r.n_removed for r in got if r.host == "hot.org"} == {30} and sum(r.n_removed for r in got if r.host != "hot.org") == 0
+    assert all(r.text == " ".join([f"own{r.page_id}"] * 12) for r in got if r.host == "hot.org")
+
+
+def test_suffix_classes_order_windows():
+    rng = np.random.default_rng(0)
+    ids = rng.integers(0, 3, 400)
+    for k in (1, 2, 3, 5, 8, 13):
+        classes = h.suffix_classes(ids, k)
+        windows = [tuple(ids[i : i + k].tolist()) for i in range(len(ids) - k + 1)]
+        numbers = {w: i for i, w in enumerate(sorted(set(windows)))}
+        assert np.argsort(classes, kind="stable").tolist() == sorted(range(len(windows)), key=lambda i: (numbers[windows[i]], i))
+        assert len(set(zip(classes.tolist(), windows))) == len(numbers)

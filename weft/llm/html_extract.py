@@ -1,33 +1,35 @@
-"""HTML extraction: what repeats between pages of a host is boilerplate and goes.
-
-The visible tokens of a host's pages are one concatenated stream, a boundary after each page. Windows of
-``min_tokens`` tokens that occur in two pages are long repeated substrings; a suffix array's order by the first
-``min_tokens`` tokens would bring them together. No suffix array is built: hashed windows replace it. A window's rank
-is a fingerprint salted by host, mixed from those of its halves, which tasks agree on without a common sort; ranks
-are sharded by value, each shard sorted by itself, so a hot host spreads over all shards. Shards return the ranks that
-occur in two pages and more.
-
-Ranks only screen. They have 48 bits, and all hosts share them: of n windows of the whole table, some n * n / 2**49
-pairs agree by chance (about 57,000 for 4e9 windows). So each window with a repeated rank is confirmed by its host and
-tokens; those that no second page has in full are ``rejected`` and stay. Every token under a confirmed window is
-boilerplate; the unique runs between stay.
-
-A batch sends its ranks sorted, each once, as differences: about four bytes a token; and of the windows to confirm,
-each distinct one once in ``MAX_KEYS``. The repeated ranks go to the tasks by broadcast up to ``max_broadcast`` bytes,
-and by a join beyond it; the rejected windows, as many as chance makes, always by broadcast.
+"""HTML extraction by host suffix arrays: what repeats between pages of a host is boilerplate and goes.
+
+Pages are range-partitioned by host (and, within a host too large for one partition, by a hash of the row), so a task
+holds whole hosts or one piece of a hot one. It concatenates the visible tokens of its pages, numbers them by a
+dictionary, and sorts the suffixes to the depth of ``min_tokens`` by prefix doubling: further tokens can't change what is
+covered. Suffixes that stand next to each other with ``min_tokens`` common tokens, in one host and distinct pages, are
+long repeated substrings; every token under one is boilerplate, the unique runs between stay. Tokens are compared as
+such, within a host.
+
+Hosts cut into pieces - by a partition's bound or by ``piece_tokens``, which bounds a task's memory - are completed by
+an exchange. Each piece sends a 48-bit rank of each distinct window of ``min_tokens``, salted by host, sorted, as differences: about
+four bytes a token. Shards of ranks answer the pieces with the ranks that several have and that one of
+them hasn't found repeated by itself. The windows so named are confirmed by a 128-bit digest of host and tokens; those that only
+chance brought together stay. Both what is sent and what is answered goes to pieces by shuffle; nothing that grows with the
+data is collected or broadcast, and there is one plan for all sizes. The driver holds the bounds of at most MAX_PARTS
+partitions, from a sample of keys weighed by bytes.
 
 Defined results: a null or empty page has no tokens and the text ''; a null url's host is ''; every row is a page of
 its own, so equal rows repeat each other, whatever their identifiers; a page shorter than ``min_tokens`` is never
-boilerplate; what repeats within one page only stays; an empty table gives no rows.
+boilerplate; what repeats within one page only stays; an empty table gives no rows. Identifiers are integers.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import uuid
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +37,15 @@ from pyspark.sql import functions as F
 from .common import col, stored
 
 MIN_TOKENS, RANK_BITS = 8, 48
-MAX_BROADCAST = 128 << 20
-MAX_KEYS = 300_000
+PIECE_TOKENS, PART_BYTES, MAX_PARTS, SAMPLES = 1 << 20, 16 << 20, 20_000, 64
+SHARD_RANKS = 1 << 20
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|small|big|code|font|mark|sub|sup|abbr|s|q|tt)(?:\s[^>]*)?/?>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 OUT = "page_id long, host string, n_tokens int, n_removed int, text string"
+GROUPS = "part int, host string, raw long, blob binary"
+PIECES = "split boolean, piece long, host string, tokens long, raw long, blob binary, hits binary"
 
 
 def host_of(url: str | None) -> str:
@@ -57,14 +61,101 @@ def visible_tokens(page: str | None) -> list[str]:
     return (html.unescape(text) if "&" in text else text).split()
 
 
-class _Ids(dict):
-    """64-bit identifiers of tokens; forgets them before they fill a worker's memory."""
+def _packed(ids: list[int | None], texts: list[bytes]) -> tuple[int, bytes]:
+    """Identifiers and texts as one compressed string, and its size before."""
+    n = len(ids)
+    head = np.array([n, *(i is None for i in ids), *(i or 0 for i in ids), *map(len, texts)], np.int64).tobytes()
+    raw = head + b"".join(texts)
+    return len(raw), pa.compress(raw, "zstd", asbytes=True)
+
 
-    def __missing__(self, token):
-        if len(self) > 300_000:
-            self.clear()
-        x = self[token] = xxhash.xxh3_64_intdigest(token)
-        return x
+def _unpacked(raw: int, blob: bytes) -> tuple[list[int | None], list[bytes]]:
+    data = pa.decompress(blob, raw, "zstd", asbytes=True)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    null, ids, sizes = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
+    ends = 8 + 24 * n + np.cumsum(sizes)
+    return [None if m else i for m, i in zip(null.tolist(), ids.tolist())], [data[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist())]
+
+
+def _send(cuts: list[tuple[bytes, int]]):
+    """(page_id, url, html, key) to compressed groups of token streams, one for each partition and host of a batch."""
+
+    def run(batches):
+        for batch in batches:
+            groups: dict[tuple, tuple[list, list]] = {}
+            ids, keys = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            for i, url, page, key in zip(ids, batch.column(1).to_pylist(), batch.column(2), keys):
+                host = host_of(url)
+                at = groups.setdefault((bisect_right(cuts, (host.encode("utf-8", "replace"), key)), host), ([], []))
+                at[0].append(i)
+                at[1].append(" ".join(visible_tokens(page.as_py())).encode("utf-8", "replace"))
+            packed = [(part, host, *_packed(*x)) for (part, host), x in groups.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*packed) if packed else [[]] * 4, (pa.int32(), pa.string(), pa.int64(), pa.binary()))], names=["part", "host", "raw", "blob"])
+
+    return run
+
+
+class Stream:
+    """The concatenated tokens of some pages: text bytes and first token of each page, tokens by number and by byte."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+        full = [i for i, t in enumerate(texts) if t]
+        lists = pc.split_pattern(pa.array([texts[i] for i in full], pa.binary()).cast(pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[full] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        self.words, self.ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.page = np.repeat(np.arange(len(texts)), sizes)
+        self.bytes = pc.binary_length(self.words).to_numpy(zero_copy_only=False).astype(np.int64)[self.ids] if len(self.ids) else np.zeros(0, np.int64)
+
+    def inside(self, k: int) -> np.ndarray:
+        """Positions whose window of k tokens ends within its page."""
+        n = len(self.ids)
+        return np.flatnonzero(np.arange(n) + k <= self.first[1:][self.page]) if n else np.zeros(0, np.int64)
+
+    def unique_runs(self, page: int, cover: np.ndarray) -> str:
+        """The page's tokens that aren't covered, a line for each run."""
+        a, b = int(self.first[page]), int(self.first[page + 1])
+        text, own = self.texts[page], cover[a:b]
+        if not own.any():
+            return text.decode()
+        ends = np.cumsum(self.bytes[a:b] + 1) - 1
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], own, [True]]).astype(np.int8)))
+        return b"\n".join(text[int(ends[s - 1]) + 1 if s else 0 : int(ends[e - 1])] for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())).decode()
+
+
+def suffix_classes(ids: np.ndarray, k: int) -> np.ndarray:
+    """Order of each suffix by its first k numbers, equal ones alike; prefix doubling, the last step overlapping."""
+    rank, m = ids, 1
+    while m < k and len(rank):
+        step = min(m, k - m)
+        if len(rank) <= step:
+            return np.zeros(0, np.int64)
+        top = int(rank.max()) + 1
+        rank, m = np.unique(rank[: len(rank) - step] * top + rank[step:], return_inverse=True)[1], m + step
+    return rank
+
+
+def repeats(stream: Stream, host: np.ndarray, k: int) -> np.ndarray:
+    """Where a window starts that another page of its host has too; host: number of the host of each page."""
+    hit = np.zeros(len(stream.ids), bool)
+    at = stream.inside(k)
+    if not len(at):
+        return hit
+    vocabulary = len(stream.words)
+    own = np.unique(host[stream.page] * vocabulary + stream.ids, return_inverse=True)[1] if host[-1] != host[0] else stream.ids
+    rank = suffix_classes(own, k)[at]
+    order = np.argsort(rank, kind="stable")
+    page, rank = stream.page[at][order], rank[order]
+    same = rank[1:] == rank[:-1]
+    apart = same & (page[1:] != page[:-1])
+    # a class with two neighbours from distinct pages is repeated as a whole
+    starts = np.flatnonzero(np.concatenate([[True], ~same]))
+    several = np.logical_or.reduceat(np.concatenate([apart, [False]]), starts)
+    hit[at[order]] = np.repeat(several, np.diff(np.concatenate([starts, [len(rank)]])))
+    return hit
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,7 +164,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def prefix_ranks(ids: np.ndarray, host: str, k: int) -> np.ndarray:
-    """Rank of each suffix of a page that has k tokens, by its first k; doubled, the last step overlapping."""
+    """RANK_BITS of a hash of the first k of each suffix of 64-bit token hashes, that tasks agree on."""
     if len(ids) < k:
         return np.zeros(0, np.uint64)
     rank, m = ids, 1
@@ -84,51 +175,11 @@ def prefix_ranks(ids: np.ndarray, host: str, k: int) -> np.ndarray:
     return _mix(rank, salt) >> np.uint64(64 - RANK_BITS)
 
 
-def _pages(batch, k: int, known: _Ids):
-    for url, page in zip(batch.column(1).to_pylist(), batch.column(2)):
-        host, tokens = host_of(url), visible_tokens(page.as_py())
-        yield host, tokens, prefix_ranks(np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens)), host, k)
-
-
-def _send(k: int, shards: int):
-    """A batch's ranks, sorted and once each, by shard: first rank, differences, and whether two of its pages have it."""
-
-    def run(batches):
-        known = _Ids()
-        for batch in batches:
-            ranks = [np.unique(r) for _, _, r in _pages(batch, k, known)]
-            ranks = np.sort(np.concatenate([np.zeros(0, np.uint64), *ranks]))
-            if not len(ranks):
-                continue
-            first = np.concatenate([[True], ranks[1:] != ranks[:-1]])
-            at = np.flatnonzero(first)
-            several = np.diff(np.concatenate([at, [len(ranks)]])) > 1
-            once = ranks[at]
-            shard = ((once >> np.uint64(16)) * np.uint64(shards) >> np.uint64(RANK_BITS - 16)).astype(np.int64)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(once)]])
-            rows = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                steps = np.diff(once[a:b])
-                wide = len(steps) > 0 and int(steps.max()) >> 32 > 0
-                rows.append((int(shard[a]), int(once[a]), steps.astype(np.uint64 if wide else np.uint32).tobytes(), wide, np.packbits(several[a:b]).tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.bool_(), pa.binary()))], names=["shard", "first", "steps", "wide", "several"]
-            )
-
-    return run
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """The ranks of a shard that two pages and more have."""
-    ranks, flags = [], []
-    for r in table.to_pylist():
-        steps = np.frombuffer(r["steps"], np.uint64 if r["wide"] else np.uint32).astype(np.uint64)
-        own = np.cumsum(np.concatenate([np.array([r["first"]], np.uint64), steps]), dtype=np.uint64)
-        ranks.append(own)
-        flags.append(own[np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(own)).astype(bool)])
-    ranks = np.sort(np.concatenate(ranks))
-    found = np.unique(np.concatenate([ranks[1:][ranks[1:] == ranks[:-1]], *flags]))
-    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(found)], pa.int64()), "ranks": pa.array([found.tobytes()], pa.binary())})
+def stream_ranks(stream: Stream, host: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the windows within pages, and their ranks."""
+    at = stream.inside(k)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in stream.words.to_pylist()), np.uint64, len(stream.words))
+    return at, prefix_ranks(hashes[stream.ids], host, k)[at] if len(at) else np.zeros(0, np.uint64)
 
 
 def covered(hit: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -140,135 +191,210 @@ def covered(hit: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _row(page_id, host, tokens, cover):
-    runs, run = [], []
-    for t, c in zip(tokens, cover.tolist()):
-        if not c:
-            run.append(t)
-        elif run:
-            runs.append(" ".join(run))
-            run = []
-    if run:
-        runs.append(" ".join(run))
-    return page_id, host, len(tokens), int(cover.sum()), "\n".join(runs)
-
-
-def _batch_of(rows):
+def _rows(ids, hosts, stream: Stream, hit: np.ndarray, k: int, pages=None):
+    """The result's columns for the pages of a stream."""
+    cover = covered(hit, k, len(hit))
+    below = np.concatenate([[0], np.cumsum(cover)])
+    pages = range(len(ids)) if pages is None else pages
+    out = [(ids[p], hosts[p], int(stream.first[p + 1] - stream.first[p]), int(below[stream.first[p + 1]] - below[stream.first[p]]), stream.unique_runs(p, cover)) for p in pages]
     kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["page_id", "host", "n_tokens", "n_removed", "text"])
-
-
-def window_key(host: str, tokens: list[str], at: int, k: int) -> str:
-    """Host and tokens of a window; tokens hold no white space, so distinct windows have distinct keys."""
-    return host + "\n" + " ".join(tokens[at : at + k])
-
-
-def _keys(pages, k: int):
-    """Batches of (key, pages) from (host, tokens, hits): each key once a batch, pages 2 where more have it."""
-    seen: dict[str, int] = {}
-
-    def batch():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int32())], names=["key", "pages"])
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["page_id", "host", "n_tokens", "n_removed", "text"])
+
+
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _search(k: int, piece_tokens: int, cut_hosts: frozenset[str]):
+    """Groups sorted by host to pieces: finished rows of whole hosts, and token streams with local hits of cut ones."""
+
+    def piece(held, broken):
+        """held: (host, ids, texts) of consecutive hosts; broken: the last host goes on in another piece of this task, or began in one."""
+        ids, texts, hosts = [], [], []
+        for host, i, t in held:
+            ids += i
+            texts += t
+            hosts += [host] * len(i)
+        stream = Stream(texts)
+        numbers = np.unique(np.array(hosts, object).astype(str), return_inverse=True)[1]
+        hit = repeats(stream, numbers, k)
+        split = [h in cut_hosts or h in broken for h in hosts]
+        whole = [p for p, s in enumerate(split) if not s]
+        rows = []
+        if whole:
+            rows.append((False, None, None, 0, 0, _ipc(_rows(ids, hosts, stream, hit, k, whole)), None))
+        for host in dict.fromkeys(h for h, s in zip(hosts, split) if s):
+            pages = [p for p, h in enumerate(hosts) if h == host]  # consecutive, as the groups are sorted
+            a, b = int(stream.first[pages[0]]), int(stream.first[pages[-1] + 1])
+            raw, blob = _packed([ids[p] for p in pages], [texts[p] for p in pages])
+            rows.append((True, uuid.uuid4().int >> 65, host, b - a, raw, blob, np.packbits(hit[a:b]).tobytes()))
+        kinds = (pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["split", "piece", "host", "tokens", "raw", "blob", "hits"])
 
-    for host, tokens, hits in pages:
-        for key in {window_key(host, tokens, a, k) for a in hits.tolist()}:
-            seen[key] = 2 if key in seen else 1
-        if len(seen) > MAX_KEYS:  # between pages, so that none counts twice
-            yield batch()
-            seen.clear()
-    if seen:
-        yield batch()
+    def run(batches):
+        held, size, broken = [], 0, frozenset()
+        for batch in batches:
+            for host, raw, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                ids, texts = _unpacked(raw, blob.as_py())
+                while ids:
+                    counts = np.cumsum([t.count(b" ") + 1 for t in texts])
+                    fits = int(np.searchsorted(counts, piece_tokens - size, "right"))
+                    if fits == 0 and held:
+                        goes_on = held[-1][0] == host
+                        yield piece(held, broken | {host} if goes_on else broken)
+                        held, size, broken = [], 0, frozenset({host}) if goes_on else frozenset()
+                        continue
+                    fits = max(1, fits)
+                    if fits < len(ids):
+                        broken |= {host}
+                    held.append((host, ids[:fits], texts[:fits]))
+                    size += int(counts[fits - 1])
+                    ids, texts = ids[fits:], texts[fits:]
+        if held:
+            yield piece(held, broken)
 
+    return run
 
-def _rejected(keys: DataFrame) -> frozenset[str]:
-    """The windows whose rank is repeated and that no second page has."""
-    once = keys.groupBy("key").agg(F.sum("pages").alias("n")).where("n < 2")
-    return frozenset(r.key for r in once.select("key").collect())
 
+def _offer(k: int, shards: int):
+    """Of a piece, its distinct ranks by shard: first rank, differences, and whether its own pages repeat it."""
 
-def _confirmed(hits: np.ndarray, host: str, tokens: list[str], k: int, rejected: frozenset[str]) -> np.ndarray:
-    """Of the positions with a repeated rank, those whose window another page really has."""
-    if not rejected:
-        return hits
-    return np.array([a for a in hits.tolist() if window_key(host, tokens, a, k) not in rejected], np.int64)
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for piece, host, raw, blob, hits in zip(*(c.to_pylist() for c in batch.columns)):
+                stream = Stream(_unpacked(raw, blob)[1])
+                at, ranks = stream_ranks(stream, host, k)
+                if not len(at):
+                    continue
+                hit = np.unpackbits(np.frombuffer(hits, np.uint8), count=len(stream.ids)).astype(bool)[at]
+                once, inverse = np.unique(ranks, return_inverse=True)
+                # two windows of the piece that chance gave one rank: asked for if either isn't repeated
+                known = np.ones(len(once), bool)
+                known[inverse[~hit]] = False
+                shard = ((once >> np.uint64(16)) * np.uint64(shards) >> np.uint64(RANK_BITS - 16)).astype(np.int64)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(once)]])
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    rows.append((int(shard[a]), piece, *_differences(once[a:b]), np.packbits(known[a:b]).tobytes()))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["shard", "piece", "first", "steps", "wide", "known"])
 
+    return run
 
-def extract(df: DataFrame, min_tokens: int = MIN_TOKENS, page_id: str = "page_id", url: str = "url", page: str = "html", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(page_id, host, n_tokens, n_removed, text) for every page; the unique runs of a text are its lines."""
-    spark, k = df.sparkSession, min_tokens
-    slim = df.select(col(page_id).cast("long").alias("page_id"), col(url).alias("url"), col(page).alias("html"))
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = slim.mapInArrow(_send(k, shards), "shard int, first long, steps binary, wide boolean, several binary")
-    found = stored(sent.groupBy("shard").applyInArrow(_repeated, "shard int, n long, ranks binary"), "ranks")
-    size = 8 * (found.agg(F.sum("n")).first()[0] or 0)
-    if size > max_broadcast:
-        return _extract_by_join(slim, found, k)
-    rows = sorted(found.collect(), key=lambda r: r.shard)
-    known_ranks = spark.sparkContext.broadcast(b"".join(bytes(r.ranks) for r in rows))
-
-    def pages_of(batch, known):
-        repeated = np.frombuffer(known_ranks.value, np.uint64)
-        for host, tokens, ranks in _pages(batch, k, known):
-            at = np.searchsorted(repeated, ranks)
-            hit = repeated[np.minimum(at, len(repeated) - 1)] == ranks if len(repeated) else np.zeros(len(ranks), bool)
-            yield host, tokens, np.flatnonzero(hit)
-
-    def keys(batches):
-        known = _Ids()
-        yield from _keys((page for batch in batches for page in pages_of(batch, known)), k)
-
-    rejected = spark.sparkContext.broadcast(_rejected(slim.mapInArrow(keys, "key string, pages int")))
 
+def _differences(ranks: np.ndarray) -> tuple[int, bytes, bool]:
+    steps = np.diff(ranks)
+    wide = len(steps) > 0 and int(steps.max()) >> 32 > 0
+    return int(ranks[0]), steps.astype(np.uint64 if wide else np.uint32).tobytes(), wide
+
+
+def _ranks(first: int, steps: bytes, wide: bool) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.array([first], np.uint64), np.frombuffer(steps, np.uint64 if wide else np.uint32).astype(np.uint64)]), dtype=np.uint64)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Of a shard, for each piece those of its ranks that several pieces have and one of them doesn't know repeated."""
+    rows = table.to_pylist()
+    own = [_ranks(r["first"], r["steps"], r["wide"]) for r in rows]
+    every = np.sort(np.concatenate(own))
+    shared = np.unique(every[1:][every[1:] == every[:-1]])
+    asked = [ranks[~np.unpackbits(np.frombuffer(r["known"], np.uint8), count=len(ranks)).astype(bool)] for r, ranks in zip(rows, own)]
+    # those who know are told too: a digest that only the asking piece has would be taken for chance
+    shared = shared[np.isin(shared, np.concatenate(asked))]
+    out = []
+    for r, ranks in zip(rows, own):
+        found = ranks[np.isin(ranks, shared, assume_unique=True)]
+        if len(found):
+            out.append((r["piece"], *_differences(found)))
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, kinds)], names=["piece", "first", "steps", "wide"])
+
+
+def _named(stream: Stream, host: str, k: int, answers):
+    """(position, digest of host and tokens) of the windows that answers name."""
+    if not answers:
+        return
+    at, ranks = stream_ranks(stream, host, k)
+    wanted = np.concatenate([_ranks(r["first"], r["steps"], r["wide"]) for r in answers])
+    words, salt, known = stream.words.to_pylist(), host + "\n", {}
+    for a in at[np.isin(ranks, wanted)].tolist():
+        window = stream.ids[a : a + k]
+        digest = known.get(key := window.tobytes())
+        if digest is None:
+            digest = known[key] = xxhash.xxh3_128_digest(salt + " ".join([words[w] for w in window.tolist()]))
+        yield a, digest
+
+
+def _digests(k: int):
     def run(batches):
-        known = _Ids()
         for batch in batches:
-            out = []
-            for i, (host, tokens, hits) in zip(batch.column(0).to_pylist(), pages_of(batch, known)):
-                hit = np.zeros(max(0, len(tokens) - k + 1), np.int32)
-                hit[_confirmed(hits, host, tokens, k, rejected.value)] = 1
-                out.append(_row(i, host, tokens, covered(hit, k, len(tokens))))
-            yield _batch_of(out)
-
-    return slim.mapInArrow(run, OUT)
+            for piece, host, raw, blob, answers in zip(*(c.to_pylist() for c in batch.columns)):
+                found = {d for _, d in _named(Stream(_unpacked(raw, blob)[1]), host, k, answers)}
+                yield pa.RecordBatch.from_arrays([pa.array([piece] * len(found), pa.int64()), pa.array(list(found), pa.binary())], names=["piece", "digest"])
 
+    return run
 
-def _extract_by_join(slim: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """As by broadcast, for more repeated ranks than a worker should hold: windows meet them in a join."""
-
-    def widen(batches):
-        known = _Ids()
-        for batch in batches:
-            pages = list(_pages(batch, k, known))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p[0] for p in pages]), pa.array([p[1] for p in pages], pa.list_(pa.string())), pa.array([p[2].astype(np.int64) for p in pages], pa.list_(pa.int64()))], names=["page_id", "host", "tokens", "ranks"]
-            )
 
-    def ranks(batches):
+def _complete(k: int):
+    def run(batches):
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blob, np.uint64).astype(np.int64))], names=["rank"])
-
-    wide = slim.mapInArrow(widen, "page_id long, host string, tokens array<string>, ranks array<long>")
-    # written once: the key of a page must be the same to both readers
-    wide = stored(wide.withColumn("row", F.monotonically_increasing_id()), "pages")
-    repeated = found.select("ranks").mapInArrow(ranks, "rank long")
-    hits = wide.select("row", F.posexplode("ranks").alias("at", "rank")).join(repeated, "rank", "left_semi").groupBy("row").agg(F.collect_list("at").alias("hits"))
-    hits = stored(hits, "hits")
+            for _, host, raw, blob, hits, answers, chance in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, texts = _unpacked(raw, blob)
+                stream, chance = Stream(texts), set(chance or ())
+                hit = np.unpackbits(np.frombuffer(hits, np.uint8), count=len(stream.ids)).astype(bool)
+                more = [a for a, d in _named(stream, host, k, answers) if d not in chance]
+                hit[more] = True
+                yield _rows(ids, [host] * len(ids), stream, hit, k)
 
-    def keys(batches):
-        pages = (r for batch in batches for r in batch.to_pylist())
-        yield from _keys(((r["host"], r["tokens"], np.array(r["hits"], np.int64)) for r in pages), k)
+    return run
 
-    candidates = wide.join(hits, "row").select("host", "tokens", "hits")
-    rejected = slim.sparkSession.sparkContext.broadcast(_rejected(candidates.mapInArrow(keys, "key string, pages int")))
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                hit = np.zeros(max(0, len(r["tokens"]) - k + 1), np.int32)
-                hit[_confirmed(np.array(r["hits"] or [], np.int64), r["host"], r["tokens"], k, rejected.value)] = 1
-                out.append(_row(r["page_id"], r["host"], r["tokens"], covered(hit, k, len(r["tokens"]))))
-            yield _batch_of(out)
-
-    return wide.join(hits, "row", "left").select("page_id", "host", "tokens", "hits").mapInArrow(run, OUT)
+def _finished(batches):
+    for batch in batches:
+        for blob in batch.column(0):
+            with pa.ipc.open_stream(blob.as_py()) as s:
+                yield from s
+
+
+def _cuts(pages: DataFrame, part_bytes: int, samples: int) -> tuple[list[tuple[bytes, int]], frozenset[str]]:
+    """Bounds of the partitions as (host, key), and the hosts that a bound cuts: only those of half a partition and more."""
+    total = pages.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
+    parts = min(MAX_PARTS, -(-int(total.bytes or 0) // part_bytes)) if total.n else 0
+    if parts < 2:
+        return [], frozenset()
+    chosen = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, samples * parts / total.n) * (1 << 30))
+    got = sorted((host_of(r.url).encode("utf-8", "replace"), r.key, r.size) for r in pages.where(chosen).select("url", "key", "size").collect())
+    if not got:
+        return [], frozenset()
+    weight, at = {}, np.cumsum([g[2] for g in got])
+    for h, _, s in got:
+        weight[h] = weight.get(h, 0) + s
+    cuts = set()
+    for j in range(1, parts):
+        h, key, _ = got[min(len(got) - 1, int(np.searchsorted(at, at[-1] * j / parts)))]
+        cuts.add((h, key) if weight[h] * parts > at[-1] / 2 else (h, -(1 << 63)))
+    return sorted(cuts), frozenset(h.decode() for h, key in cuts if key > -(1 << 63))
+
+
+def extract(df: DataFrame, min_tokens: int = MIN_TOKENS, page_id: str = "page_id", url: str = "url", page: str = "html", piece_tokens: int = PIECE_TOKENS, part_bytes: int = PART_BYTES, samples: int = SAMPLES) -> DataFrame:
+    """(page_id, host, n_tokens, n_removed, text) for every page; the unique runs of a text are its lines."""
+    k = min_tokens
+    slim = df.select(col(page_id).cast("long").alias("page_id"), col(url).alias("url"), col(page).alias("html"), F.xxhash64(col(page_id), col(url), F.octet_length(col(page))).alias("key"))
+    cuts, cut_hosts = _cuts(slim.select("url", "key", (F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 100).alias("size")), part_bytes, samples)
+    groups = slim.mapInArrow(_send(cuts), GROUPS).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("host")
+    pieces = stored(groups.mapInArrow(_search(k, piece_tokens, cut_hosts), PIECES), "pieces")
+    split = pieces.where("split").select("piece", "host", "raw", "blob", "hits")
+    shards = max(1, -(-int(pieces.where("split").agg(F.sum("tokens")).first()[0] or 0) // SHARD_RANKS))
+    offers = split.mapInArrow(_offer(k, shards), "shard int, piece long, first long, steps binary, wide boolean, known binary")
+    answers = stored(offers.groupBy("shard").applyInArrow(_answer, "piece long, first long, steps binary, wide boolean"), "answers")
+    told = answers.groupBy("piece").agg(F.collect_list(F.struct("first", "steps", "wide")).alias("answers"))
+    asked = split.join(told, "piece")
+    digests = asked.select("piece", "host", "raw", "blob", "answers").mapInArrow(_digests(k), "piece long, digest binary")
+    # a piece has a digest once; one that no other piece has is a chance meeting of ranks
+    chance = digests.groupBy("digest").agg(F.count("*").alias("n"), F.min("piece").alias("piece")).where("n = 1").groupBy("piece").agg(F.collect_list("digest").alias("chance"))
+    chance = stored(chance, "chance")
+    cut = split.join(told, "piece", "left").join(chance, "piece", "left").select("piece", "host", "raw", "blob", "hits", "answers", "chance").mapInArrow(_complete(k), OUT)
+    return pieces.where("not split").select("blob").mapInArrow(_finished, OUT).unionByName(cut)
