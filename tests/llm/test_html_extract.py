@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,13 +9,18 @@ from weft.llm import html_extract as h
 SCHEMA = "page_id long, url string, html string, host int, TEXT string"
 
 
+def host_of(url):
+    m = re.match(h._HOST, url or "")
+    return m.group(1).lower() if m else ""
+
+
 def brute(rows, k):
     """A real suffix array over each host's concatenated tokens, by sorting; repeats from neighbours' common prefixes."""
     out = []
-    hosts = {h.host_of(r[1]) for r in rows}
+    hosts = {host_of(r[1]) for r in rows}
     for host in hosts:
         stream, page_of, start = [], [], []
-        pages = [(i, h.visible_tokens(r[2])) for i, r in enumerate(rows) if h.host_of(r[1]) == host]
+        pages = [(i, h.visible_tokens(r[2])) for i, r in enumerate(rows) if host_of(r[1]) == host]
         for i, tokens in pages:
             start.append(len(stream))
             stream += [*tokens, f"\0{i}"]
@@ -54,7 +60,7 @@ def corpus(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("pieces", [{}, {"piece_tokens": 150}, {"part_bytes": 4000}, {"part_bytes": 3000, "piece_tokens": 60, "samples": 9}])
+@pytest.mark.parametrize("pieces", [{}, {"piece_tokens": 150}, {"host_bytes": 0}, {"host_bytes": 3000, "piece_tokens": 60}])
 @pytest.mark.parametrize("k", [3, 8])
 def test_equals_a_suffix_array_by_sorting(spark, pieces, k):
     rows = [*corpus(), (100, None, None, 1, "x"), (101, "https://a.example.org/", "", 1, "x"), (None, "nonsense", "<p>lonely words only", 1, "x")]
@@ -71,8 +77,10 @@ def test_visible_tokens():
     assert h.visible_tokens(None) == h.visible_tokens("<script>unclosed") == []
 
 
-def test_hosts():
-    assert [h.host_of(u) for u in (None, "", "x", "HTTP://U:p@Ex.org:80/a", "https://e.org?q")] == ["", "", "", "ex.org", "e.org"]
+def test_hosts(spark):
+    urls = [None, "", "x", "HTTP://U:p@Ex.org:80/a", "https://e.org?q"]
+    got = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(h.host_of(h.col("u"))).collect()
+    assert [r[0] for r in got] == [host_of(u) for u in urls] == ["", "", "", "ex.org", "e.org"]
 
 
 def test_ranks_agree_with_windows():
@@ -93,7 +101,7 @@ def test_empty_table_and_very_long_page(spark):
     assert got[2].n_removed == 20 and got[1].n_removed == 20 and got[1].text.count("\n") == 1
 
 
-@pytest.mark.parametrize("pieces", [{}, {"piece_tokens": 8}])
+@pytest.mark.parametrize("pieces", [{}, {"host_bytes": 0}])
 def test_chance_repeats_of_a_rank_stay(spark, pieces):
     texts = ["w264 w871 w270 w289 w779 w425 w414 w382", "w622 w174 w90 w353 w998 w626 w512 w596"]
     ranks = [h.prefix_ranks(np.array([h.xxhash.xxh3_64_intdigest(t) for t in x.split()], np.uint64), "x", 8).tolist() for x in texts]
@@ -111,7 +119,7 @@ def test_hosts_do_not_repeat_each_other_and_hot_hosts_are_cut(spark):
     apart = [(i, f"http://h{i}.org/", same, 1, "") for i in range(40)]
     assert sum(r.n_removed for r in h.extract(spark.createDataFrame(apart, SCHEMA).repartition(4)).collect()) == 0
     hot = [(i, "http://hot.org/", f"<p>own{i} " * 12 + same, 1, "") for i in range(200)]
-    got = h.extract(spark.createDataFrame(hot + apart, SCHEMA).repartition(4), piece_tokens=300, part_bytes=4000).collect()
+    got = h.extract(spark.createDataFrame(hot + apart, SCHEMA).repartition(4), piece_tokens=300, host_bytes=9000).collect()
     assert {r.n_removed for r in got if r.host == "hot.org"} == {30} and sum(r.n_removed for r in got if r.host != "hot.org") == 0
     assert all(r.text == " ".join([f"own{r.page_id}"] * 12) for r in got if r.host == "hot.org")
 

@@ -1,19 +1,18 @@
 """HTML extraction by host suffix arrays: what repeats between pages of a host is boilerplate and goes.
 
-Pages are range-partitioned by host (and, within a host too large for one partition, by a hash of the row), so a task
-holds whole hosts or one piece of a hot one. It concatenates the visible tokens of its pages, numbers them by a
-dictionary, and sorts the suffixes to the depth of ``min_tokens`` by prefix doubling: further tokens can't change what is
-covered. Suffixes that stand next to each other with ``min_tokens`` common tokens, in one host and distinct pages, are
-long repeated substrings; every token under one is boilerplate, the unique runs between stay. Tokens are compared as
-such, within a host.
-
-Hosts cut into pieces - by a partition's bound or by ``piece_tokens``, which bounds a task's memory - are completed by
-an exchange. Each piece sends a 48-bit rank of each distinct window of ``min_tokens``, salted by host, sorted, as differences: about
-four bytes a token. Shards of ranks answer the pieces with the ranks that several have and that one of
-them hasn't found repeated by itself. The windows so named are confirmed by a 128-bit digest of host and tokens; those that only
-chance brought together stay. Both what is sent and what is answered goes to pieces by shuffle; nothing that grows with the
-data is collected or broadcast, and there is one plan for all sizes. The driver holds the bounds of at most MAX_PARTS
-partitions, from a sample of keys weighed by bytes.
+A task concatenates the visible tokens of the pages of whole hosts, numbers them by a dictionary, and sorts the
+suffixes to the depth of ``min_tokens`` by prefix doubling: further tokens can't change what is covered. Suffixes that
+stand next to each other with ``min_tokens`` common tokens, in one host and distinct pages, are long repeated
+substrings; every token under one is boilerplate, the unique runs between stay. Tokens are compared as such, within a
+host.
+
+Hosts of more than ``host_bytes`` of pages aren't brought together. Each scan task sorts its own pieces of them, of at
+most ``piece_tokens``, and an exchange completes the pieces: each sends a 48-bit rank of each distinct window of
+``min_tokens``, salted by host, sorted, as differences - about four bytes a token. Shards of ranks answer the pieces
+with the ranks that several have and that one of them hasn't found repeated by itself. The windows so named are
+confirmed by a 128-bit digest of host and tokens; those that only chance brought together stay. What is sent and
+answered goes by shuffle. The hosts above ``host_bytes`` go to the scans by broadcast, 8 bytes each, so at most
+8 / host_bytes of the table: 50 MB for 100 TB.
 
 Defined results: a null or empty page has no tokens and the text ''; a null url's host is ''; every row is a page of
 its own, so equal rows repeat each other, whatever their identifiers; a page shorter than ``min_tokens`` is never
@@ -25,32 +24,30 @@ from __future__ import annotations
 import html
 import re
 import uuid
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, stored
 
 MIN_TOKENS, RANK_BITS = 8, 48
-PIECE_TOKENS, PART_BYTES, MAX_PARTS, SAMPLES = 1 << 20, 16 << 20, 20_000, 64
+PIECE_TOKENS, HOST_BYTES = 1 << 21, 16 << 20
 SHARD_RANKS = 1 << 20
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|small|big|code|font|mark|sub|sup|abbr|s|q|tt)(?:\s[^>]*)?/?>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
-_HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+_HOST = r"^[a-zA-Z][a-zA-Z0-9_+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 OUT = "page_id long, host string, n_tokens int, n_removed int, text string"
-GROUPS = "part int, host string, raw long, blob binary"
-PIECES = "split boolean, piece long, host string, tokens long, raw long, blob binary, hits binary"
+GROUPS = "host string, raw long, blob binary"
+PIECES = "piece long, host string, tokens long, raw long, blob binary, hits binary"
 
 
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m.group(1).lower() if m else ""
+def host_of(url: Column) -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(url, _HOST, 1), F.lit("")))
 
 
 def visible_tokens(page: str | None) -> list[str]:
@@ -66,7 +63,7 @@ def _packed(ids: list[int | None], texts: list[bytes]) -> tuple[int, bytes]:
     n = len(ids)
     head = np.array([n, *(i is None for i in ids), *(i or 0 for i in ids), *map(len, texts)], np.int64).tobytes()
     raw = head + b"".join(texts)
-    return len(raw), pa.compress(raw, "zstd", asbytes=True)
+    return len(raw), pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True)
 
 
 def _unpacked(raw: int, blob: bytes) -> tuple[list[int | None], list[bytes]]:
@@ -77,22 +74,24 @@ def _unpacked(raw: int, blob: bytes) -> tuple[list[int | None], list[bytes]]:
     return [None if m else i for m, i in zip(null.tolist(), ids.tolist())], [data[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist())]
 
 
-def _send(cuts: list[tuple[bytes, int]]):
-    """(page_id, url, html, key) to compressed groups of token streams, one for each partition and host of a batch."""
+def _batch(rows: list[tuple], names: str, *kinds) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names.split())
 
-    def run(batches):
-        for batch in batches:
-            groups: dict[tuple, tuple[list, list]] = {}
-            ids, keys = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            for i, url, page, key in zip(ids, batch.column(1).to_pylist(), batch.column(2), keys):
-                host = host_of(url)
-                at = groups.setdefault((bisect_right(cuts, (host.encode("utf-8", "replace"), key)), host), ([], []))
-                at[0].append(i)
-                at[1].append(" ".join(visible_tokens(page.as_py())).encode("utf-8", "replace"))
-            packed = [(part, host, *_packed(*x)) for (part, host), x in groups.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*packed) if packed else [[]] * 4, (pa.int32(), pa.string(), pa.int64(), pa.binary()))], names=["part", "host", "raw", "blob"])
 
-    return run
+def _by_host(batch: pa.RecordBatch) -> dict[str, tuple[list, list]]:
+    """Identifiers and token streams of a batch of (page_id, host, html)."""
+    groups: dict[str, tuple[list, list]] = {}
+    for i, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        at = groups.setdefault(host, ([], []))
+        at[0].append(i)
+        at[1].append(" ".join(visible_tokens(page.as_py())).encode("utf-8", "replace"))
+    return groups
+
+
+def _send(batches):
+    """A compressed group of token streams for each host of a batch."""
+    for batch in batches:
+        yield _batch([(host, *_packed(*x)) for host, x in _by_host(batch).items()], "host raw blob", pa.string(), pa.int64(), pa.binary())
 
 
 class Stream:
@@ -191,70 +190,72 @@ def covered(hit: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _rows(ids, hosts, stream: Stream, hit: np.ndarray, k: int, pages=None):
+def _rows(ids, hosts, stream: Stream, hit: np.ndarray, k: int):
     """The result's columns for the pages of a stream."""
     cover = covered(hit, k, len(hit))
     below = np.concatenate([[0], np.cumsum(cover)])
-    pages = range(len(ids)) if pages is None else pages
-    out = [(ids[p], hosts[p], int(stream.first[p + 1] - stream.first[p]), int(below[stream.first[p + 1]] - below[stream.first[p]]), stream.unique_runs(p, cover)) for p in pages]
-    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["page_id", "host", "n_tokens", "n_removed", "text"])
-
-
-def _ipc(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    out = [(ids[p], hosts[p], int(stream.first[p + 1] - stream.first[p]), int(below[stream.first[p + 1]] - below[stream.first[p]]), stream.unique_runs(p, cover)) for p in range(len(ids))]
+    return _batch(out, "page_id host n_tokens n_removed text", pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
 
 
-def _search(k: int, piece_tokens: int, cut_hosts: frozenset[str]):
-    """Groups sorted by host to pieces: finished rows of whole hosts, and token streams with local hits of cut ones."""
+def _whole(k: int, piece_tokens: int):
+    """Groups sorted by host to finished rows; hosts go together until they are half a piece."""
 
-    def piece(held, broken):
-        """held: (host, ids, texts) of consecutive hosts; broken: the last host goes on in another piece of this task, or began in one."""
+    def finish(held):
         ids, texts, hosts = [], [], []
         for host, i, t in held:
-            ids += i
-            texts += t
-            hosts += [host] * len(i)
+            ids, texts, hosts = ids + i, texts + t, hosts + [host] * len(i)
         stream = Stream(texts)
-        numbers = np.unique(np.array(hosts, object).astype(str), return_inverse=True)[1]
-        hit = repeats(stream, numbers, k)
-        split = [h in cut_hosts or h in broken for h in hosts]
-        whole = [p for p, s in enumerate(split) if not s]
-        rows = []
-        if whole:
-            rows.append((False, None, None, 0, 0, _ipc(_rows(ids, hosts, stream, hit, k, whole)), None))
-        for host in dict.fromkeys(h for h, s in zip(hosts, split) if s):
-            pages = [p for p, h in enumerate(hosts) if h == host]  # consecutive, as the groups are sorted
-            a, b = int(stream.first[pages[0]]), int(stream.first[pages[-1] + 1])
-            raw, blob = _packed([ids[p] for p in pages], [texts[p] for p in pages])
-            rows.append((True, uuid.uuid4().int >> 65, host, b - a, raw, blob, np.packbits(hit[a:b]).tobytes()))
-        kinds = (pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["split", "piece", "host", "tokens", "raw", "blob", "hits"])
+        numbers = np.cumsum(np.array([0, *(a != b for a, b in zip(hosts, hosts[1:]))]))
+        return _rows(ids, hosts, stream, repeats(stream, numbers, k), k)
 
     def run(batches):
-        held, size, broken = [], 0, frozenset()
+        held, size = [], 0
         for batch in batches:
-            for host, raw, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                ids, texts = _unpacked(raw, blob.as_py())
-                while ids:
-                    counts = np.cumsum([t.count(b" ") + 1 for t in texts])
-                    fits = int(np.searchsorted(counts, piece_tokens - size, "right"))
-                    if fits == 0 and held:
-                        goes_on = held[-1][0] == host
-                        yield piece(held, broken | {host} if goes_on else broken)
-                        held, size, broken = [], 0, frozenset({host}) if goes_on else frozenset()
-                        continue
-                    fits = max(1, fits)
-                    if fits < len(ids):
-                        broken |= {host}
-                    held.append((host, ids[:fits], texts[:fits]))
-                    size += int(counts[fits - 1])
-                    ids, texts = ids[fits:], texts[fits:]
+            for host, raw, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if held and size * 2 > piece_tokens and held[-1][0] != host:
+                    yield finish(held)
+                    held, size = [], 0
+                held.append((host, *_unpacked(raw, blob.as_py())))
+                size += sum(t.count(b" ") + 1 for t in held[-1][2])
         if held:
-            yield piece(held, broken)
+            yield finish(held)
+
+    return run
+
+
+def _cut(k: int, piece_tokens: int):
+    """(page_id, host, html) of large hosts to pieces: token streams and where a piece repeats itself."""
+
+    def piece(host, ids, texts):
+        stream = Stream(texts)
+        hit = repeats(stream, np.zeros(len(texts), np.int64), k)
+        return (uuid.uuid4().int >> 65, host, len(hit), *_packed(ids, texts), np.packbits(hit).tobytes())
+
+    def out(rows):
+        return _batch(rows, "piece host tokens raw blob hits", pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+
+    def run(batches):
+        held: dict[str, tuple[list, list]] = {}
+        sizes: dict[str, int] = {}
+        for batch in batches:
+            for host, (ids, texts) in _by_host(batch).items():
+                mine = held.setdefault(host, ([], []))
+                for i, t in zip(ids, texts):
+                    n = t.count(b" ") + 1
+                    if mine[0] and sizes[host] + n > piece_tokens:
+                        yield out([piece(host, *mine)])
+                        mine = held[host] = ([], [])
+                        sizes[host] = 0
+                    mine[0].append(i)
+                    mine[1].append(t)
+                    sizes[host] = sizes.get(host, 0) + n
+            while sum(sizes.values()) > 2 * piece_tokens:
+                largest = max(sizes, key=sizes.get)
+                yield out([piece(largest, *held.pop(largest))])
+                del sizes[largest]
+        for host, mine in held.items():
+            yield out([piece(host, *mine)])
 
     return run
 
@@ -279,8 +280,7 @@ def _offer(k: int, shards: int):
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(once)]])
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     rows.append((int(shard[a]), piece, *_differences(once[a:b]), np.packbits(known[a:b]).tobytes()))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["shard", "piece", "first", "steps", "wide", "known"])
+            yield _batch(rows, "shard piece first steps wide known", pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary())
 
     return run
 
@@ -309,8 +309,7 @@ def _answer(table: pa.Table) -> pa.Table:
         found = ranks[np.isin(ranks, shared, assume_unique=True)]
         if len(found):
             out.append((r["piece"], *_differences(found)))
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, kinds)], names=["piece", "first", "steps", "wide"])
+    return pa.Table.from_batches([_batch(out, "piece first steps wide", pa.int64(), pa.int64(), pa.binary(), pa.bool_())])
 
 
 def _named(stream: Stream, host: str, k: int, answers):
@@ -352,49 +351,25 @@ def _complete(k: int):
     return run
 
 
-def _finished(batches):
-    for batch in batches:
-        for blob in batch.column(0):
-            with pa.ipc.open_stream(blob.as_py()) as s:
-                yield from s
-
-
-def _cuts(pages: DataFrame, part_bytes: int, samples: int) -> tuple[list[tuple[bytes, int]], frozenset[str]]:
-    """Bounds of the partitions as (host, key), and the hosts that a bound cuts: only those of half a partition and more."""
-    total = pages.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
-    parts = min(MAX_PARTS, -(-int(total.bytes or 0) // part_bytes)) if total.n else 0
-    if parts < 2:
-        return [], frozenset()
-    chosen = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, samples * parts / total.n) * (1 << 30))
-    got = sorted((host_of(r.url).encode("utf-8", "replace"), r.key, r.size) for r in pages.where(chosen).select("url", "key", "size").collect())
-    if not got:
-        return [], frozenset()
-    weight, at = {}, np.cumsum([g[2] for g in got])
-    for h, _, s in got:
-        weight[h] = weight.get(h, 0) + s
-    cuts = set()
-    for j in range(1, parts):
-        h, key, _ = got[min(len(got) - 1, int(np.searchsorted(at, at[-1] * j / parts)))]
-        cuts.add((h, key) if weight[h] * parts > at[-1] / 2 else (h, -(1 << 63)))
-    return sorted(cuts), frozenset(h.decode() for h, key in cuts if key > -(1 << 63))
-
-
-def extract(df: DataFrame, min_tokens: int = MIN_TOKENS, page_id: str = "page_id", url: str = "url", page: str = "html", piece_tokens: int = PIECE_TOKENS, part_bytes: int = PART_BYTES, samples: int = SAMPLES) -> DataFrame:
+def extract(df: DataFrame, min_tokens: int = MIN_TOKENS, page_id: str = "page_id", url: str = "url", page: str = "html", piece_tokens: int = PIECE_TOKENS, host_bytes: int = HOST_BYTES) -> DataFrame:
     """(page_id, host, n_tokens, n_removed, text) for every page; the unique runs of a text are its lines."""
     k = min_tokens
-    slim = df.select(col(page_id).cast("long").alias("page_id"), col(url).alias("url"), col(page).alias("html"), F.xxhash64(col(page_id), col(url), F.octet_length(col(page))).alias("key"))
-    cuts, cut_hosts = _cuts(slim.select("url", "key", (F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 100).alias("size")), part_bytes, samples)
-    groups = slim.mapInArrow(_send(cuts), GROUPS).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("host")
-    pieces = stored(groups.mapInArrow(_search(k, piece_tokens, cut_hosts), PIECES), "pieces")
-    split = pieces.where("split").select("piece", "host", "raw", "blob", "hits")
-    shards = max(1, -(-int(pieces.where("split").agg(F.sum("tokens")).first()[0] or 0) // SHARD_RANKS))
-    offers = split.mapInArrow(_offer(k, shards), "shard int, piece long, first long, steps binary, wide boolean, known binary")
+    pages = df.select(col(page_id).cast("long").alias("page_id"), host_of(col(url)).alias("host"), col(page).alias("html"))
+    sizes = pages.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 100).alias("bytes"))
+    # 64 bits name a host: one that shares them with a large one is only treated like it
+    large = F.broadcast(stored(sizes.where(F.col("bytes") > host_bytes).select(F.xxhash64("host").alias("large")), "hosts"))
+    of_large = F.xxhash64("host") == F.col("large")
+    groups = pages.join(large, of_large, "left_anti").mapInArrow(_send, GROUPS)
+    whole = groups.repartition("host").sortWithinPartitions("host").mapInArrow(_whole(k, piece_tokens), OUT)
+    pieces = stored(pages.join(large, of_large, "left_semi").mapInArrow(_cut(k, piece_tokens), PIECES), "pieces")
+    shards = max(1, -(-int(pieces.agg(F.sum("tokens")).first()[0] or 0) // SHARD_RANKS))
+    offers = pieces.select("piece", "host", "raw", "blob", "hits").mapInArrow(_offer(k, shards), "shard int, piece long, first long, steps binary, wide boolean, known binary")
     answers = stored(offers.groupBy("shard").applyInArrow(_answer, "piece long, first long, steps binary, wide boolean"), "answers")
     told = answers.groupBy("piece").agg(F.collect_list(F.struct("first", "steps", "wide")).alias("answers"))
-    asked = split.join(told, "piece")
-    digests = asked.select("piece", "host", "raw", "blob", "answers").mapInArrow(_digests(k), "piece long, digest binary")
+    asked = pieces.join(told, "piece").select("piece", "host", "raw", "blob", "answers")
+    digests = asked.mapInArrow(_digests(k), "piece long, digest binary")
     # a piece has a digest once; one that no other piece has is a chance meeting of ranks
     chance = digests.groupBy("digest").agg(F.count("*").alias("n"), F.min("piece").alias("piece")).where("n = 1").groupBy("piece").agg(F.collect_list("digest").alias("chance"))
     chance = stored(chance, "chance")
-    cut = split.join(told, "piece", "left").join(chance, "piece", "left").select("piece", "host", "raw", "blob", "hits", "answers", "chance").mapInArrow(_complete(k), OUT)
-    return pieces.where("not split").select("blob").mapInArrow(_finished, OUT).unionByName(cut)
+    cut = pieces.join(told, "piece", "left").join(chance, "piece", "left").select("piece", "host", "raw", "blob", "hits", "answers", "chance").mapInArrow(_complete(k), OUT)
+    return whole.unionByName(cut)
