@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weft.llm import common
 from weft.llm import exact_dedup as x
 
 SCHEMA = "doc_id long, text string, lang string, __weft_hash int, OWNER_ID string"
@@ -24,10 +25,10 @@ def corpus(n=400, seed=1):
     return [*rows, rows[3], rows[3], (None, "abc", "en", 1, "q"), (None, "only without id", "en", 1, "q")]
 
 
-@pytest.mark.parametrize("spill", [1, 20_000, 1 << 30])
-def test_groups_equal_brute_force_at_any_memory(spark, spill):
+@pytest.mark.parametrize("spill,chunk", [(1, 3), (20_000, 8192), (20_000, 2), (1 << 30, 5), (1 << 30, 8192)])
+def test_groups_equal_brute_force_at_any_memory(spark, spill, chunk):
     rows = corpus()
-    got = x.exact_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), spill_bytes=spill).collect()
+    got = x.exact_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), spill_bytes=spill, chunk=chunk).collect()
     assert sorted(((r.doc_id, r.owner_id) for r in got), key=str) == brute(rows)
 
 
@@ -43,11 +44,25 @@ def test_owners_keep_one_row_a_text_and_all_columns(spark):
     assert sum(r.text is None for r in got) == sum(r[1] is None for r in rows)
 
 
-def test_texts_whose_hashes_collide_stay_apart(spark):
+@pytest.mark.parametrize("spill", [1, 1 << 30])
+def test_texts_whose_hashes_collide_stay_apart(spark, spill):
     rows = [(i, t, "en", 1, "") for i, t in enumerate(["aa", "ab", "aa", "ba", "ab", "aa"])]
-    owners, ids = x._owner_rows(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", 1, F.lit(5).cast("long"))
-    got = {(r.text, r.doc_id, tuple(sorted(r[ids]))) for r in owners.collect()}
-    assert got == {("aa", 0, (0, 2, 5)), ("ab", 1, (1, 4)), ("ba", 3, (3,))}
+    got = x.exact_groups(spark.createDataFrame(rows, SCHEMA).repartition(2), spill_bytes=spill, chunk=1, hash_expr=F.lit(5).cast("long"))
+    assert sorted((r.doc_id, r.owner_id) for r in got.collect()) == [(0, 0), (1, 1), (2, 0), (3, 3), (4, 1), (5, 0)]
+
+
+def test_a_hot_text_leaves_in_pieces_and_rows_without_anything_stay(spark):
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("text")).repartition(6)
+    rows = x.exact_groups(df, chunk=500)
+    assert rows.where("owner_id = 1").count() == 40_000 and rows.where("doc_id is null and owner_id is null").count() == 20_000
+    widest = x._owner_rows(df, "doc_id", "text", x.SPILL_BYTES, True, 500).agg(F.max(F.size("ids"))).first()[0]
+    assert widest <= 500 + 10_000  # the copies of a batch at most beyond the piece
+    assert x.drop_exact(df).count() == 20_001
+
+
+def test_identifiers_that_are_no_integers_raise(spark):
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        x.exact_groups(spark.createDataFrame([("a", "t")], "doc_id string, text string")).collect()
 
 
 def test_ties_keep_the_least_remaining_columns(spark):
@@ -55,6 +70,10 @@ def test_ties_keep_the_least_remaining_columns(spark):
     assert [r.lang for r in x.drop_exact(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()] == ["de"]
 
 
+def test_addresses_of_stores():
+    assert [common.arrow_uri(u) for u in ("/a/b", "s3a://b/k", "hdfs://n:8020/x", "file:///t")] == ["file:///a/b", "s3://b/k", "hdfs://n:8020/x", "file:///t"]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert x.exact_groups(df).collect() == [] and x.drop_exact(df).collect() == []

@@ -12,15 +12,32 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder every executor reaches: ``spark.checkpoint.dir``. Where that is unset, a temporary one, but only if
+    all tasks run on this machine; on a cluster an unset folder raises."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="weft-shared-"))
     return _fallback[0]
 
 
+def filesystem(uri: str):
+    """(pyarrow filesystem, path) of an address: also of one with a scheme that only Hadoop has for the same store."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(arrow_uri(uri))
+
+
+def arrow_uri(uri: str) -> str:
+    scheme, found, rest = uri.partition("://")
+    if not found:
+        return f"file://{uri}"
+    return {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}.get(scheme.lower(), scheme) + "://" + rest
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
