@@ -52,9 +52,8 @@ def test_scores_equal_brute_force_noisy_or(spark, model):
                 p = 1 / (1 + 2.718281828459045**-z)
                 clean *= 1 - p
                 any_located |= p >= 0.5
-        expected = 1 - clean if any_located else min(1 - clean, 0.4999)
-        assert r.score == pytest.approx(expected, abs=1e-5)
-        assert r.toxic == (expected >= model.threshold)
+        assert r.score == pytest.approx(1 - clean, abs=1e-5)
+        assert r.toxic == (any_located and 1 - clean >= model.threshold)
 
 
 def test_nulls_blanks_long_texts_repeats_and_clashing_columns(spark, model):
@@ -82,3 +81,14 @@ def test_fit_is_bounded_and_deterministic(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     a, b = (t.fit(df.repartition(n), df, max_rows=60) for n in (2, 5))
     assert a == b and a.weights
+
+
+def test_repeated_identifiers_and_long_texts_do_not_burst_the_sample(spark, monkeypatch):
+    rows = corpus(80, 6)
+    hot = rows[0][:1] + ("a hot text. " * 50, rows[0][2])
+    df = spark.createDataFrame(rows + [hot] * 2000, "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(t, "train", lambda texts, y, seed: seen.append(texts) or t.ToxicityModel())
+    t.fit(df, df, max_rows=50)
+    t.fit(df, df, max_rows=50, max_chars=5000)
+    assert len(seen[0]) <= 100 and len(seen[1]) < len(seen[0]) and sum(map(len, seen[1])) <= 5000

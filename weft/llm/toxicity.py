@@ -2,10 +2,11 @@
 
 A document is a bag of sentences. A sentence scores p = sigmoid(bias + sum of the weights of its words and word
 prefixes); the document scores by noisy-or, 1 - prod(1 - p), so one bad sentence is enough. Weights are trained
-from document labels alone (numpy, Adam) on at most ``max_rows`` labelled rows of each class, taken in the order of
-a hash of their identifiers; everything else covers every document and whole texts. A document is rejected if its
+from document labels alone (numpy, Adam) on at most ``max_rows`` labelled rows of each class and ``max_chars``
+characters, taken in the order of a hash of their identifiers; everything else covers every document and whole texts. A document is rejected if its
 noisy-or score reaches the threshold chosen on held-out labelled rows and at least one sentence is located, that is
-scores 0.5 or more by itself: many harmless sentences don't add up to a rejection.
+scores 0.5 or more by itself: many harmless sentences don't add up to a rejection. The score given is the noisy-or in
+either case.
 
 Defined results: a null or blank text scores 0 and has no sentences; labels that are null, or without their
 document, teach nothing, and of several labels for one document the largest counts; without labelled rows of both
@@ -20,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ from .common import col
 
 #: Labelled rows of each class that the model is fitted on.
 MAX_ROWS = 3000
+#: Characters of those rows together: they are fitted in the driver.
+MAX_CHARS = 1 << 26
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -57,15 +60,18 @@ def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, seed: int = 7) -> ToxicityModel:
-    """Fits the model on a bounded sample of the labelled documents."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, seed: int = 7) -> ToxicityModel:
+    """Fits the model on a bounded sample of the labelled documents: rows, not only identifiers, and characters."""
     marked = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull()).groupBy(col(id_col).alias("id")).agg(F.max(col(label_col).cast("int")).alias("y"))
-    ranked = [marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows) for y in (0, 1)]
-    chosen = ranked[0].unionByName(ranked[1])
+    in_order = (F.xxhash64("id"), F.col("id"))
+    ranked = [marked.where(F.col("y") == y).orderBy(*in_order).limit(max_rows) for y in (0, 1)]
     # at most 2 * max_rows identifiers, whatever the tables hold
-    text = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = sorted(((r.id, r.y, r.text) for r in text.collect()), key=lambda r: (str(r[0]), str(r[2])))
-    return train([r[2] for r in rows], [r[1] for r in rows], seed)
+    text = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(ranked[0].unionByName(ranked[1])), "id")
+    rows = [text.where(F.col("y") == y).orderBy(*in_order, F.xxhash64("text")).limit(max_rows) for y in (0, 1)]
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(*in_order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    kept = rows[0].unionByName(rows[1]).withColumn("chars", so_far).where(F.col("chars") <= max_chars)
+    got = sorted(((r.id, r.y, r.text) for r in kept.collect()), key=lambda r: (str(r[0]), str(r[2])))
+    return train([r[2] for r in got], [r[1] for r in got], seed)
 
 
 def _telling(texts: list[str | None], y: list[int], z: float) -> dict[str, int]:
@@ -101,7 +107,13 @@ def train(texts: list[str | None], y: list[int], seed: int = 7, epochs: int = 40
     if len(set(y)) < 2:
         return ToxicityModel()
     rng = np.random.default_rng(seed)
-    index = _telling(texts, y, z)
+    order, labels = rng.permutation(len(y)), np.array(y)
+    held = np.zeros(len(y), bool)
+    for c in (0, 1):
+        mine = order[labels[order] == c]
+        held[mine[: int(held_out * len(mine))]] = True
+    # neither weights nor the choice of features see the held-out rows
+    index = _telling([t for t, h in zip(texts, held) if not h], [c for c, h in zip(y, held) if not h], z)
     flat, of_sentence, first = [], [], [0]
     total = 0
     for text in texts:
@@ -117,11 +129,6 @@ def train(texts: list[str | None], y: list[int], seed: int = 7, epochs: int = 40
     flat = np.concatenate([*flat, np.zeros(0, np.int32)])
     first = np.array(first)
     y = np.array(y, float)
-    order = rng.permutation(len(y))
-    held = np.zeros(len(y), bool)
-    for c in (0, 1):
-        mine = order[y[order] == c]
-        held[mine[: int(held_out * len(mine))]] = True
     fit_on = [d for d in order if not held[d]]
     balance = np.where(y == 1, 1.0, min(1.0, 2 * y.sum() / max(1, (y == 0).sum())))
     w = np.zeros(len(index) + 1)
@@ -155,7 +162,7 @@ def train(texts: list[str | None], y: list[int], seed: int = 7, epochs: int = 40
     names = list(index)
     model = ToxicityModel({names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w[:-1]) > 0.02)}, float(w[-1]), 0.5)
     tested = np.flatnonzero(held) if held.any() and len(set(y[held])) == 2 else np.arange(len(y))
-    scores = np.array([_judge(texts[d], model, {})[0] for d in tested])
+    scores = np.array([_deciding(*_judge(texts[d], model, {})) for d in tested])
     best = (-1.0, 0.5)
     for t in (0.5, 0.6, 0.7, 0.8, 0.9, 0.95):
         hit = scores >= t
@@ -181,8 +188,12 @@ def _judge(text: str | None, model: ToxicityModel, cache: dict[str, float]) -> t
         quiet += max(s, 0.0) + math.log1p(math.exp(-abs(s)))
         if s >= 0:
             spans.append((m.start(), m.end(), 1 / (1 + math.exp(-s))))
-    score = -math.expm1(-quiet)
-    return (score if spans else min(score, 0.4999)), spans
+    return -math.expm1(-quiet), spans
+
+
+def _deciding(score: float, spans: list) -> float:
+    """What is held to the threshold: the noisy-or of a text with a located sentence, else nothing."""
+    return score if spans else 0.0
 
 
 def _cached(cache: dict, limit: int = 400_000) -> dict:
@@ -202,7 +213,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             judged = [_judge(t, model, _cached(cache)) for t in batch.column(1).to_pylist()]
             spans = [[{"start": a, "end": b, "prob": round(p, 6)} for a, b, p in s] for _, s in judged]
             scores = [round(x, 6) for x, _ in judged]
-            toxic = [x >= model.threshold for x, _ in judged]
+            toxic = [_deciding(*x) >= model.threshold for x in judged]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(toxic, pa.bool_()), pa.array(spans, kind)], names=["doc_id", "score", "toxic", "spans"])
 
     return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, schema)
@@ -215,7 +226,7 @@ def reject(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Dat
     def run(batches):
         cache: dict[str, float] = {}
         for batch in batches:
-            stays = [_judge(t, model, _cached(cache))[0] < model.threshold for t in batch.column(at).to_pylist()]
+            stays = [_deciding(*_judge(t, model, _cached(cache))) < model.threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
