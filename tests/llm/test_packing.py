@@ -110,3 +110,9 @@ def test_every_part_counts_as_a_segment(spark):
     assert all(r.segments == len(r.doc_ids) == 1 for r in packs) and sum(r.tokens for r in packs) == 95
     few = spark.createDataFrame([(i, "w " * 21) for i in range(6)], "doc_id long, text string")
     assert all(r.segments == len(r.doc_ids) <= 2 for r in p.pack_documents(few, p.Limits(20, 2, 8)).collect())
+
+
+def test_rows_without_an_identifier_are_spread_over_the_shards(spark):
+    df = spark.createDataFrame([(None, "a b c")] * 400, "doc_id long, text string").repartition(4)
+    packs = p.pack_documents(df, shard_items=50).collect()
+    assert sum(len(x.doc_ids) for x in packs) == 400 and len({x.pack_id >> 32 for x in packs}) > 4

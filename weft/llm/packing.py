@@ -13,7 +13,8 @@ of which only counts are known, are cut into the fewest parts of even size, each
 Nothing is truncated: the parts' tokens and loss-bearing tokens add up to the example's. A part is a segment of its
 pack and counts as at least one.
 
-Defined results: null tokens and loss-bearing tokens are 0; null identifiers are packed like others; repeated rows are
+Defined results: null tokens and loss-bearing tokens are 0; null identifiers are packed like others, spread over
+all shards; repeated rows are
 examples of their own; an example without tokens or segments still takes one segment; an empty table gives no packs.
 """
 
@@ -109,9 +110,10 @@ def pack(df: DataFrame, limits: Limits, identifier: Column, tokens: Column, segm
 
 def pack_parts(parts: DataFrame, limits: Limits, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The packs of (id, part, tokens, segments, loss), each part within the limits."""
-    parts = stored(parts, "examples")
+    # rows without an identifier are told apart by a number of their own, or all would fall into one shard
+    parts = stored(parts.withColumn("own", F.when(F.col("id").isNull(), F.monotonically_increasing_id())), "examples")
     shards = max(1, -(-parts.count() // shard_items))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("id", "part"), F.lit(shards)))
+    dealt = parts.withColumn("shard", F.when(F.col("own").isNull(), F.pmod(F.xxhash64("id", "part"), F.lit(shards))).otherwise(F.pmod(F.xxhash64("own"), F.lit(shards)))).drop("own")
     limit = limits.array()
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
