@@ -19,12 +19,12 @@ JOINT = "\n\n"
 
 
 def _merged(turns: Column) -> Column:
-    """Runs of one role as (role, text): linear in the turns, as each run is sliced once."""
+    """Runs of one role as (role, text): linear in the turns and their text, as each run is sliced and joined once."""
     n = F.size(turns)
     role = lambda i: F.element_at(turns, i)["role"]
     starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (role(F.greatest(i - 1, F.lit(1))) != role(i)))
     run = lambda i, k: F.slice(turns, i, F.coalesce(F.get(starts, k + 1), n + 1) - i)
-    text = lambda r: F.aggregate(F.slice(r, 2, F.size(r)), r[0]["text"], lambda acc, t: F.concat(acc, F.lit(JOINT), t["text"]))
+    text = lambda r: F.array_join(F.transform(r, lambda t: t["text"]), JOINT)
     return F.transform(starts, lambda i, k: F.struct(role(i).alias("role"), text(run(i, k)).alias("text")))
 
 

@@ -2,8 +2,8 @@
 
 Every page becomes a ``response`` record whose headers, lengths and SHA-1 digests are regenerated, and a gzip member
 of its own, made where the page is scanned, so that the shuffle carries compressed bytes. Records are range-sorted by
-(url, page_id, digest): the splitters are quantiles of keys that a hash of the key selects, so shards depend on the
-rows alone, not on partitions, tasks or attempts. A shard's task writes its members in order and rolls to the next
+(url, page_id, digest): the splitters are quantiles, by bytes, of keys that a hash of the key selects, so shards depend
+on the rows alone, not on partitions, tasks or attempts. A shard's task writes its members in order and rolls to the next
 file before one would pass ``roll_bytes`` compressed; each file starts with a ``warcinfo`` record.
 
 Files are written under temporary names, one set for each attempt of a task. The index of the attempts that count is
@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, scratch, stored
+from .common import col, filesystem, scratch, stored
 
-ROLL_BYTES, SHARD_BYTES, SAMPLES, LEVEL = 1 << 27, 1 << 28, 16, 6
+ROLL_BYTES, SHARD_BYTES, SAMPLES, LEVEL = 1 << 27, 1 << 28, 64, 6
 DATE, NULL_URI = "1970-01-01T00:00:00Z", "urn:weft:null"
 INDEX = "page_id long, url string, file string, position long, length long, digest string, temp string"
 _SPACE = uuid.UUID("5c0a1d5e-8a63-5f0e-9d3b-0c7e6f1a2b44")
@@ -118,12 +118,6 @@ class _File:
         return self.size - len(member)
 
 
-def _filesystem(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-
-
 def _write(target: _Target):
     """Sorted rows of whole shards to files; yields the index of each file once it is closed."""
 
@@ -137,7 +131,7 @@ def _write(target: _Target):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*f.rows), kinds)], names=["page_id", "url", "file", "position", "length", "digest", "temp"])
 
     def run(batches):
-        fs, base = _filesystem(target.folder)
+        fs, base = filesystem(target.folder)
         attempt, file, shard_now, part, last, copy = uuid.uuid4().hex, None, None, 0, None, 0
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(5)]
@@ -165,16 +159,21 @@ def _order(k: tuple) -> tuple:
 
 
 def _splitters(pages: DataFrame, shard_bytes: int, samples: int) -> list[tuple]:
-    """Quantiles of the keys that their own hash selects, about ``samples`` for each shard; a function of the rows."""
-    total = pages.agg(F.sum(F.octet_length("html").cast("long") + F.lit(400)).alias("bytes"), F.count("*").alias("n")).first()
-    shards = -(-int(total.bytes or total.n * 400 or 0) // shard_bytes) if total.n else 1
+    """Quantiles by bytes of the keys that their own hash selects, about ``samples`` for each shard; a function of the rows."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + F.lit(400)
+    total = pages.agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).first()
+    shards = -(-int(total.bytes or 0) // shard_bytes)
     if shards < 2:
         return []
     share = min(1.0, samples * shards / total.n)
     hashed = F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    got = sorted({(r.url, r.page_id) for r in pages.select("url", "page_id").where(hashed).collect()}, key=_order)
-    cuts = sorted({len(got) * j // shards for j in range(1, shards)})
-    return [got[c] for c in cuts if 0 < c < len(got)]
+    got = sorted((((r.url, r.page_id), r.bytes) for r in pages.where(hashed).groupBy("url", "page_id").agg(F.sum(size).alias("bytes")).collect()), key=lambda x: _order(x[0]))
+    ends, below = [], 0
+    for _, n in got:
+        below += n
+        ends.append(below)
+    cuts = sorted({bisect_right(ends, below * j / shards) for j in range(1, shards)})
+    return [got[c][0] for c in cuts if 0 < c < len(got)]
 
 
 def write_warc(df: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE, level: int = LEVEL, page_id: str = "page_id", url: str = "url", page: str = "html", samples: int = SAMPLES) -> DataFrame:
@@ -183,7 +182,7 @@ def write_warc(df: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_b
     ``shard_bytes`` is uncompressed bytes of a shard, about; a folder that has a manifest isn't written again.
     """
     spark = df.sparkSession
-    fs, base = _filesystem(folder)
+    fs, base = filesystem(folder)
     if fs.get_file_info(f"{base}/manifest.json").is_file:
         raise FileExistsError(f"{folder} already holds a committed collection")
     fs.create_dir(f"{base}/_temporary", recursive=True)
@@ -199,7 +198,7 @@ def write_warc(df: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_b
 
 def _commit(index: DataFrame, folder: str) -> None:
     """Final names for the files of the attempts that count, then the manifest. Repeating it changes nothing."""
-    fs, base = _filesystem(folder)
+    fs, base = filesystem(folder)
     files = index.groupBy("file", "temp").agg(F.count("*").alias("records"), F.max(F.col("position") + F.col("length")).alias("bytes")).orderBy("file").collect()
 
     def final(r):
@@ -225,12 +224,12 @@ def parse(raw: bytes) -> dict[str, str | bytes]:
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, url, html, file, position) of every response record of a committed collection, a file to a task at least."""
-    fs, base = _filesystem(folder)
+    fs, base = filesystem(folder)
     with fs.open_input_stream(f"{base}/manifest.json") as f:
         names = [(x["file"],) for x in json.loads(f.read())["files"]]
 
     def run(batches):
-        fs, base = _filesystem(folder)
+        fs, base = filesystem(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, held = [], 0
