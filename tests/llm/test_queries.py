@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from weft.llm import exact_dedup, packing, queries, simhash_dedup
+from weft.llm import queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,7 +25,7 @@ def test_equals_sql(spark, name):
     names = [d[0] for d in res.description]
     df = queries.queries()[name](spark, SF).select(*names)
     got, want = (sorted((tuple(map(plain, r)) for r in rows), key=repr) for rows in (df.collect(), res.fetchall()))
-    assert got == want and (got or name == "op3_embedding_near_dedup")  # no two of these vectors are as near
+    assert got == want and got
 
 
 def test_one_query_for_each_operator():
@@ -84,10 +84,3 @@ def test_each_stage_on_all_that_the_last_kept(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     sf = tables(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, sf).collect() == []
-
-
-def test_broadcast_and_join_drop_the_same(spark):
-    df = spark.createDataFrame([r[:2] for r in corpus()], "doc_id long, text string")
-    a, b = (sorted(map(str, simhash_dedup.drop_near(df, max_broadcast=m).collect())) for m in (0, 10**6))
-    assert a == b and exact_dedup.drop_exact(df).count() > len(a) > 0
-    assert packing.SHARD_ITEMS > 0

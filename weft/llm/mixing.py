@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by iterative proportional fitting.
+"""Mixing sources to target weights by raking (proportional fitting of marginals).
 
 Token counts are summed by cell (source, language, topic); raking multiplies the cells, in turn and for a fixed
 number of rounds, so that each marginal meets its target share. A cell's factor is its fitted over its observed
@@ -34,15 +34,21 @@ NEGLIGIBLE = 0.01
 DIMS = ("source", "lang", "topic")
 
 
+#: Target shares of the topics: connected prose of both lengths, little of what is mostly marks and figures.
+TOPICS = {"long": 0.6, "short": 0.38, "noise": 0.02}
+#: What op2_mixing and the pipeline aim at; sources and languages keep their observed shares, flattened by TEMPERATURE.
+TARGETS = {"topic": TOPICS}
+_MARKS = r"[!-@\[-`{-~]"
+
+
 def topic_of(text: Column) -> Column:
-    """A crude topic where the table has none: what kind of writing the text is."""
-    return (
-        F.when(text.isNull(), "none")
-        .when(text.contains("%%%") | text.contains("&&&") | text.contains("$$$"), "symbols")
-        .when(text.contains("!! "), "shouting")
-        .when(text.contains("\n"), "article")
-        .otherwise("note")
-    )
+    """What kind of writing a text is, where the table has no topic of its own.
+
+    'noise' if more than a third of its characters are ASCII marks and figures, else 'long' from 400 words and 'short'
+    below; a null text is 'none'.
+    """
+    marks = F.regexp_count(text, F.lit(_MARKS))
+    return F.when(text.isNull(), "none").when(marks * 3 > F.length(text), "noise").when(tokens_of(text) >= 400, "long").otherwise("short")
 
 
 def tokens_of(text: Column) -> Column:
@@ -151,15 +157,24 @@ def mix(df: DataFrame, targets: dict[str, dict] | None = None, source: str = "so
     return kept.select(*[col(c) for c in df.columns])
 
 
-def mixing_sql(table: str = "documents", rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0) -> str:
+def mixing_sql(table: str = "documents", targets: dict[str, dict] | None = None, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: int = 0) -> str:
     """The report of ``mix`` over a table, in DuckDB's SQL: one step of raking to a common table expression."""
+    targets = targets or {}
+
+    def goal(x: str) -> str:
+        """A value's share of the total: as wanted, or its observed share to the power; it counts once, though it has n cells."""
+        if x in targets:
+            raw = "CASE " + " ".join(f"WHEN {x} = '{v}' THEN {w}::DOUBLE" for v, w in targets[x].items()) + " ELSE 0.0 END"
+        else:
+            raw = f"pow(s_{x} / total, {temperature})"
+        return f"total * {raw} / sum({raw} / n_{x}) OVER () AS g_{x}"
+
     steps = [
-        f"""d AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN text IS NULL THEN 'none' WHEN contains(text, '%%%') OR contains(text, '&&&') OR contains(text, '$$$') THEN 'symbols'
- WHEN contains(text, '!! ') THEN 'shouting' WHEN contains(text, chr(10)) THEN 'article' ELSE 'note' END AS topic, coalesce(len(regexp_extract_all(text, '\\S+')), 0)::BIGINT AS tokens FROM {table})""",
+        f"""d AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN text IS NULL THEN 'none' WHEN len(regexp_extract_all(text, '{_MARKS}')) * 3 > length(text) THEN 'noise'
+ WHEN tokens >= 400 THEN 'long' ELSE 'short' END AS topic, tokens FROM (SELECT *, coalesce(len(regexp_extract_all(text, '\\S+')), 0)::BIGINT AS tokens FROM {table}))""",
         "c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS t FROM d GROUP BY ALL)",
         "m AS MATERIALIZED (SELECT *, sum(t) OVER () AS total, " + ", ".join(f"sum(t) OVER (PARTITION BY {x}) AS s_{x}, count(*) OVER (PARTITION BY {x}) AS n_{x}" for x in DIMS) + " FROM c)",
-        # a value's power counts once, though it has n cells
-        "w0 AS MATERIALIZED (SELECT source, lang, topic, t, t AS w, " + ", ".join(f"total * pow(s_{x} / total, {temperature}) / sum(pow(s_{x} / total, {temperature}) / n_{x}) OVER () AS g_{x}" for x in DIMS) + " FROM m)",
+        "w0 AS MATERIALIZED (SELECT source, lang, topic, t, t AS w, " + ", ".join(map(goal, DIMS)) + " FROM m)",
     ]
     for k in range(rounds * len(DIMS)):
         x = DIMS[k % len(DIMS)]

@@ -11,7 +11,7 @@ from .chat_format import CHAT_SQL, format_chats
 from .embedding_dedup import classes_sql, near_classes
 from .exact_dedup import exact_groups
 from .html_extract import extract
-from .mixing import mix, mixing_sql
+from .mixing import TARGETS, mix, mixing_sql
 from .packing import pack_conversations
 from .simhash_dedup import near_groups
 from .warc import to_shared_folder
@@ -26,7 +26,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents"), report=True)
+    return mix(_table(spark, sf_dir, "documents"), TARGETS, report=True)
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The rest are held against brute force in tests/llm."""
-    return {"op2_mixing": mixing_sql(), "op3_embedding_near_dedup": classes_sql(), "op7_chat_format": CHAT_SQL, "op10_exact_dedup": OP10}
+    return {"op2_mixing": mixing_sql(targets=TARGETS), "op3_embedding_near_dedup": classes_sql(), "op7_chat_format": CHAT_SQL, "op10_exact_dedup": OP10}
