@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.llm import toxicity
 from weft.llm.common import stored
 from weft.llm.exact_dedup import drop_exact
-from weft.llm.mixing import NEGLIGIBLE, mix
+from weft.llm.mixing import NEGLIGIBLE, TARGETS, mix
 from weft.llm.packing import pack_documents
 from weft.llm.simhash_dedup import drop_near
 
@@ -29,7 +29,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that sources, languages and topics have their target shares of the tokens; negligible cells stay whole."""
-    return mix(docs, negligible=NEGLIGIBLE)
+    return mix(docs, TARGETS, negligible=NEGLIGIBLE)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
