@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import inspect
+import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +107,11 @@ class Chain:
         df = self.df
         return df if self._settings.get("sys") or "sys" not in df.columns else df.drop("sys")
 
+    @property
+    def ordered_select(self) -> DataFrame:
+        """The visible rows in the order given, for an ordered scan."""
+        return self._visible()
+
     # -- identity -----------------------------------------------------------
 
     @property
@@ -271,11 +278,15 @@ class Chain:
         return out if self._limit is None else out._next(_limit=rows.chunk_limit(self._limit, index, total))
 
     @step
-    def explode(self, col: str, column: str | None = None, schema_sample_size: int = 100) -> Chain:
-        """A JSON string as a typed struct column ``<col>_expl``; the schema comes from a sample of its values."""
+    def explode(self, col: str, column: str | None = None, schema_sample_size: int | None = None) -> Chain:
+        """A JSON string as a typed struct column ``<col>_expl``; the schema comes from all its values or, by
+        ``schema_sample_size``, from so many of them: keys and types first seen later are then lost."""
         own = self._sliced()
-        sample = own._df.where(F.col(col).isNotNull()).select(F.col(col).alias("j")).limit(schema_sample_size)
-        kind = self.spark.read.json(sample.rdd.map(lambda r: r.j)).schema if not sample.isEmpty() else T.StructType()
+        texts = own._df.where(F.col(col).isNotNull()).select(F.col(col).alias("j"))
+        texts = texts if schema_sample_size is None else texts.limit(schema_sample_size)
+        # the reader takes a Dataset[String], which stays in the JVM
+        strings = getattr(texts._jdf, "as")(self.spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        kind = T.StructType.fromJson(json.loads(self.spark._jsparkSession.read().json(strings).schema().json()))
         return own._next(own._df.withColumn(column or col.split(".")[-1] + "_expl", F.from_json(F.col(col), kind)))
 
     # -- joins and sets -------------------------------------------------------
@@ -393,6 +404,41 @@ class Chain:
     def to_values(self, col: str) -> list:
         return [r[0] for r in self.to_iter(col)]
 
+    def extract(self, *cols: str) -> Iterator[tuple]:
+        """The values of columns, a tuple a row."""
+        return self.to_iter(*cols)
+
+    def leaf_values(self) -> Iterator[tuple]:
+        """Rows with structs laid flat."""
+        for r in self._flat(True).toLocalIterator():
+            yield tuple(r)
+
+    _leaf_values = leaf_values
+    collect = to_list
+
+    def as_scalar(self):
+        """The first value of the first row."""
+        row = self._visible().first()
+        return None if row is None else row[0]
+
+    def to_pytorch(self, transform: Callable | None = None, num_samples: int = 0):
+        """An iterable PyTorch dataset of rows, streamed a partition at a time; needs torch."""
+        from torch.utils.data import IterableDataset
+
+        chain = self.sample(num_samples) if num_samples else self
+
+        class Rows(IterableDataset):
+            def __iter__(self):
+                return (transform(r) if transform else r for r in chain.to_iter())
+
+        return Rows()
+
+    def parse_tabular(self, output=None, column: str = "", model: str = "file", source: bool = False, nrows: int | None = None, format: str | None = None, **options) -> Chain:
+        """Rows of the tables (CSV, JSON lines, Parquet) that a file column names, read where Arrow opens them."""
+        from .sources import tabular
+
+        return self._settled()._next(tabular.parse(self.df, output, column, model, source, nrows, format, options))
+
     def results(self, include_hidden: bool = True) -> list[tuple]:
         return [tuple(r) for r in self._flat(include_hidden).collect()]
 
@@ -405,8 +451,15 @@ class Chain:
         return df.drop(*[f"`{c}`" for c in hidden]) if not hidden else df.select(*[F.col(f"`{c}`") for c in df.columns if c not in hidden])
 
     def to_columnar_data_with_names(self, chunk_size: int = 100_000) -> tuple[list[str], Iterator[list[list]]]:
+        """Names, and columns of values a chunk at a time; a partition at most is in the driver."""
         df = self._flat(True)
-        return df.columns, ([c.to_pylist() for c in b.columns] for b in df.toArrow().to_batches(chunk_size))
+
+        def chunks():
+            rows = df.toLocalIterator()
+            while part := list(islice(rows, chunk_size)):
+                yield [list(c) for c in zip(*part)]
+
+        return df.columns, chunks()
 
     def to_pandas(self, flatten: bool = True, include_hidden: bool = True):
         import pandas as pd

@@ -89,6 +89,25 @@ for _op in ("add", "sub", "mul", "truediv", "mod", "and_", "or_"):
     _fwd, _back = _both(_op)
     setattr(C, f"__{_name}__", _fwd)
     setattr(C, f"__r{_name}__", _back)
+def _bits(apply):
+    def forward(self, other):
+        return apply(self.column, to_column(other, names=False))
+
+    def reflected(self, other):
+        return apply(F.lit(other), self.column)
+
+    return forward, reflected
+
+
+def _shift(function):
+    """Shifts take a number of places that is an int; a column of them goes through SQL's function."""
+    return lambda a, b: F.call_function(function, a.cast("long"), b.cast("int"))
+
+
+for _name, _apply in {"floordiv": lambda a, b: F.call_function("div", a, b), "xor": lambda a, b: a.bitwiseXOR(b), "lshift": _shift("shiftleft"), "rshift": _shift("shiftright")}.items():
+    _fwd, _back = _bits(_apply)
+    setattr(C, f"__{_name}__", _fwd)
+    setattr(C, f"__r{_name}__", _back)
 for _op in ("lt", "le", "eq", "ne", "gt", "ge"):
     setattr(C, f"__{_op}__", _both(_op)[0])
 

@@ -34,7 +34,7 @@ def shift_right(a, n: int) -> Column:
 
 def floor_divide(a, b) -> Column:
     """Whole quotient, towards zero; zero as divisor raises."""
-    return (to_column(a) / to_column(b)).cast("long")
+    return F.call_function("div", to_column(a), to_column(b))
 
 
 _LOW = 0xFFFFFFFF

@@ -33,12 +33,10 @@ def with_sys(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     starts, total = {}, 0
     for at, n in sizes:
         starts[at], total = total, total + n
-    if not starts:
-        offset = F.lit(0).cast("long")
-    else:
-        offset = F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)])[F.col("__at")]
-    number = (offset + F.col("__n") + 1).cast("long")
-    return table.select(F.struct(number.alias("id"), rand_of(number).alias("rand")).alias("sys"), *[F.col(f"`{c}`") for c in ordered.columns])
+    # one row of two numbers for each partition of the input
+    offsets = F.broadcast(spark.createDataFrame(list(starts.items()), "__at int, __start long"))
+    number = (F.col("__start") + F.col("__n") + 1).cast("long")
+    return table.join(offsets, "__at").select(F.struct(number.alias("id"), rand_of(number).alias("rand")).alias("sys"), *[F.col(f"`{c}`") for c in ordered.columns])
 
 
 def chunk(df: DataFrame, index: int, total: int) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from packaging.specifiers import SpecifierSet
 from packaging.version import Version
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,15 +123,16 @@ class Catalog:
         if have and Version(version) < Version(have[-1]):
             raise ValueError(f"versions of {n} only grow; the newest is {have[-1]}")
         data = f"{self._dir(n)}/data-{version}-{uuid.uuid4().hex}"
-        df.write.parquet(self._uri(data))
-        table = self.spark.read.schema(df.schema).parquet(self._uri(data))
         sizes = [f"{f.name}.size" for f in df.schema if isinstance(f.dataType, T.StructType) and {"path", "size"} <= set(f.dataType.fieldNames())]
-        stats = table.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(F.col(s)), F.lit(0)).alias(f"s{i}") for i, s in enumerate(sizes)]).first()
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(F.col(s)), F.lit(0)).alias(f"s{i}") for i, s in enumerate(sizes)]).write.parquet(self._uri(data))
+        stats = seen.get
+        table = self.spark.read.schema(df.schema).parquet(self._uri(data))
         preview = table.limit(20).select(F.to_json(F.struct("*")).alias("j")).collect()
         self._write(
             f"{self._dir(n)}/{version}.json",
             {"name": str(n), "version": version, "uuid": uuid.uuid4().hex, "created_at": time.time(), "description": description, "attrs": attrs or [], "data": data, "schema": df.schema.jsonValue(),
-             "num_rows": stats.rows, "size": sum(stats[1:]), "preview": [json.loads(r.j) for r in preview], "dependencies": dependencies or [], "plan": plan},
+             "num_rows": stats["rows"], "size": sum(stats[f"s{i}"] for i in range(len(sizes))), "preview": [json.loads(r.j) for r in preview], "dependencies": dependencies or [], "plan": plan},
         )
         return version
 
@@ -140,11 +142,10 @@ class Catalog:
     def datasets(self, attrs: list[str] | None = None, prefix: str = "", exclude: str | None = "lst__") -> DataFrame:
         """The registry as rows; ``attrs`` has 'k' or 'k=v', all of which must be there."""
         rows = []
-        for n in self.names():
-            if not n.name.startswith(prefix) or exclude and n.name.startswith(exclude):
-                continue
-            for v in self.versions(n):
-                m = self.manifest(n, f"=={v}")
+        names = [n for n in self.names() if n.name.startswith(prefix) and not (exclude and n.name.startswith(exclude))]
+        wanted = [(n, v) for n in names for v in self.versions(n)]
+        with ThreadPoolExecutor(16) as pool:
+            for (n, v), m in zip(wanted, pool.map(lambda x: self._read(f"{self._dir(x[0])}/{x[1]}.json"), wanted)):
                 own = {a for x in m["attrs"] for a in (x, x.split("=")[0])}
                 if set(attrs or []) <= own:
                     rows.append((n.namespace, n.project, n.name, v, m["num_rows"], m["size"], m["description"], m["attrs"], float(m["created_at"])))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import shutil
 import sqlite3
 from collections.abc import Iterator
 from pathlib import Path
@@ -102,7 +101,7 @@ def _batches(rows: Iterator, n: int) -> Iterator[list[tuple]]:
 def destination(output: str, source: str, path: str, etag: str, placement: str) -> str:
     """Where an exported file goes."""
     if placement == "fullpath":
-        return f"{output}/{source.split('://')[-1].strip('/')}/{path}".replace("//", "/")
+        return f"{output.rstrip('/')}/{source.split('://')[-1].strip('/')}/{path}"
     if placement == "filename":
         return f"{output}/{path.rsplit('/', 1)[-1]}"
     if placement == "filepath":
@@ -113,20 +112,25 @@ def destination(output: str, source: str, path: str, etag: str, placement: str)
 
 
 def to_storage(df: DataFrame, output: str, signal: str = "file", placement: str = "fullpath", link_type: str = "copy", num_threads: int = 8) -> int:
-    """Copies or links the files that a column names to ``output``; executors do it, each with a few threads."""
+    """Copies the files that a column names to ``output``, from and to any store, or links them on a local disk; tasks do
+    it, each with a few threads. Repeating it, as a retried task does, changes nothing."""
     files = df.select(*[F.col(f"{signal}.{c}").alias(c) for c in ("source", "path", "etag")])
     if placement == "filename" and not files.groupBy(F.substring_index("path", "/", -1)).count().where("count > 1").isEmpty():
         raise ValueError("file names repeat; choose another placement")
 
     def copy(r) -> None:
-        to = Path(destination(output, r.source or "", r.path, r.etag or "", placement))
-        origin = Path((r.source or "").removeprefix("file://")) / r.path
-        to.parent.mkdir(parents=True, exist_ok=True)
-        if link_type == "symlink":
+        place = destination(output, r.source or "", r.path, r.etag or "", placement)
+        if link_type == "symlink":  # local disks only
+            to = Path(place.removeprefix("file://"))
+            to.parent.mkdir(parents=True, exist_ok=True)
             to.unlink(missing_ok=True)
-            to.symlink_to(origin)
-        else:
-            shutil.copyfile(origin, to)
+            to.symlink_to(Path((r.source or "").removeprefix("file://")) / r.path)
+            return
+        (source, start), (target, end) = filesystem(f"{r.source.rstrip('/')}/{r.path}" if r.source else r.path), filesystem(place)
+        target.create_dir(end.rpartition("/")[0], recursive=True)
+        with source.open_input_stream(start, compression=None) as f, target.open_output_stream(end, compression=None) as out:
+            while piece := f.read(8 << 20):
+                out.write(piece)
 
     def run(rows) -> None:
         from concurrent.futures import ThreadPoolExecutor

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
 
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from ..columns import glob_regex
 from ..functions.path import file_ext, parent
 from ..functions.path import name as name_of
+from ..plans.catalog import Catalog
 from .patterns import expand_braces, needs_recursion, pattern_regex, split_pattern
 
 TTL = 4 * 3600
 KINDS = {"image": ["jpg", "jpeg", "png", "gif", "bmp", "webp", "tiff"], "text": ["txt", "md", "csv", "json", "jsonl", "xml", "html"], "video": ["mp4", "mov", "avi", "mkv", "webm"], "audio": ["mp3", "wav", "flac", "ogg", "m4a"]}
-_cache: dict[tuple, tuple[float, DataFrame]] = {}
 
 
 def _list(spark: SparkSession, base: str, recursive: bool) -> DataFrame:
@@ -29,16 +30,54 @@ def _list(spark: SparkSession, base: str, recursive: bool) -> DataFrame:
     )
 
 
+def listing_name(base: str, recursive: bool) -> str:
+    return f"lst__{hashlib.sha256(f'{base}|{recursive}'.encode()).hexdigest()[:24]}"
+
+
+def check_bucket(uri: str) -> None:
+    """A ValueError for a bucket's name that no store takes."""
+    scheme, found, rest = uri.partition("://")
+    bucket = rest.partition("/")[0]
+    if found and scheme.lower() in ("s3", "s3a", "gs", "gcs") and not re.fullmatch(r"[a-z0-9][a-z0-9._-]{1,61}[a-z0-9]", bucket):
+        raise ValueError(f"{bucket!r} is no bucket's name")
+
+
+def get_listing(spark: SparkSession, base: str, recursive: bool = True, update: bool = False, ttl: int = TTL) -> DataFrame:
+    """The files below an address as a saved dataset: its newest version until that expires, then a new one."""
+    check_bucket(base)
+    catalog, name = Catalog(spark), listing_name(base, recursive)
+    have = catalog.versions(name)
+    if update or not have or time.time() - catalog.manifest(name)["created_at"] > ttl:
+        catalog.save(_list(spark, base, recursive), name, description=base)
+    return catalog.read(name)
+
+
+def read_listing_dataset(spark: SparkSession, name: str, version: str | None = None, path: str = "") -> DataFrame:
+    """The files of a saved listing, or those below a folder of it."""
+    files = Catalog(spark).read(name, version)
+    base = path.strip("/")
+    return files.where((F.col("path") == base) | F.col("path").startswith(base + "/")) if base else files
+
+
+def node(files: DataFrame, path: str) -> DataFrame:
+    """(path, is_dir, size) of a file, or of a folder that has files below it; no row if there is neither."""
+    base = path.strip("/")
+    inside = files.where((F.col("path") == base) | F.col("path").startswith(base + "/")) if base else files
+    both = inside.agg(F.max(F.col("path") == base).alias("is_file"), F.sum("size").alias("size")).where("size is not null")
+    return both.select(F.lit(base).alias("path"), (~F.coalesce("is_file", F.lit(False))).alias("is_dir"), "size")
+
+
+def subtree(files: DataFrame, path: str = "") -> DataFrame:
+    """All files below a folder."""
+    return ls(files, path, recursive=True)
+
+
 def list_files(spark: SparkSession, uri: str | list[str], kind: str | None = None, recursive: bool = True, column: str = "file", update: bool = False, ttl: int = TTL) -> DataFrame:
     """Rows of files under the addresses, braces and globs expanded. A listing is used again until it expires."""
     parts = []
     for one in dict.fromkeys(x for u in ([uri] if isinstance(uri, str) else uri) for x in expand_braces(u)):
         base, pattern = split_pattern(one)
-        deep = recursive and (pattern is None or needs_recursion(pattern))
-        key = (spark.sparkContext.applicationId, base, deep)
-        if update or key not in _cache or time.time() - _cache[key][0] > ttl:
-            _cache[key] = time.time(), _list(spark, base, deep)
-        files = _cache[key][1]
+        files = get_listing(spark, base, recursive and (pattern is None or needs_recursion(pattern)), update, ttl)
         parts.append(files.where(F.col("path").rlike(pattern_regex(pattern))) if pattern else files)
     out = parts[0]
     for p in parts[1:]:

@@ -8,27 +8,42 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
+#: Schemes that Hadoop and Arrow name differently.
+_ARROW = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset, a temporary folder, but only if all tasks run on this
+    machine; on a cluster an unset folder raises."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="weft-"))
     return _fallback[0]
 
 
+def arrow_uri(uri: str) -> str:
+    """An address as Arrow's file systems take it."""
+    scheme, found, rest = uri.partition("://")
+    return f"{_ARROW.get(scheme.lower(), scheme)}://{rest}" if found else f"file://{uri}"
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a folder's address."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    return fs.FileSystem.from_uri(arrow_uri(uri))
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/weft-{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
