@@ -25,17 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[0]
 
 
-def arrow_uri(uri: str) -> str:
-    """An address as Arrow's file systems take it."""
+def arrow_root(uri: str) -> tuple[str, str]:
+    """The root of an address's store as Arrow's file systems take it, and the path below it, taken as it stands."""
     scheme, found, rest = uri.partition("://")
-    return f"{_ARROW.get(scheme.lower(), scheme)}://{rest}" if found else f"file://{uri}"
+    if not found or scheme.lower() == "file":
+        return "", rest if found else uri.removeprefix("file:")
+    authority, _, path = rest.partition("/")
+    return f"{_ARROW.get(scheme.lower(), scheme)}://{authority}/", path
 
 
 def filesystem(uri: str):
-    """(pyarrow filesystem, path) of a folder's address."""
+    """(pyarrow filesystem, path) of an address, also of one with a scheme that only Hadoop has for the same store."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(arrow_uri(uri))
+    root, path = arrow_root(uri)
+    if not root:
+        return fs.LocalFileSystem(), path
+    store, base = fs.FileSystem.from_uri(root)
+    return store, f"{base.rstrip('/')}/{path}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
