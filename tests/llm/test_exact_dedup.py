@@ -71,7 +71,7 @@ def test_ties_keep_the_least_remaining_columns(spark):
 
 
 def test_addresses_of_stores():
-    assert [common.arrow_uri(u) for u in ("/a/b", "s3a://b/k", "hdfs://n:8020/x", "file:///t")] == ["file:///a/b", "s3://b/k", "hdfs://n:8020/x", "file:///t"]
+    assert [common.arrow_root(u) for u in ("/a/b c", "s3a://b/k/%20", "hdfs://n:8020/x", "file:///t#")] == [("", "/a/b c"), ("s3://b/", "k/%20"), ("hdfs://n:8020/", "x"), ("", "/t#")]
 
 
 def test_empty_table(spark):

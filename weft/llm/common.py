@@ -24,18 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[0]
 
 
-def filesystem(uri: str):
-    """(pyarrow filesystem, path) of an address: also of one with a scheme that only Hadoop has for the same store."""
-    from pyarrow import fs
+def arrow_root(uri: str) -> tuple[str, str]:
+    """The root of an address's store as Arrow's file systems take it, and the path below it, taken as it stands."""
+    scheme, found, rest = uri.partition("://")
+    if not found or scheme.lower() == "file":
+        return "", rest if found else uri.removeprefix("file:")
+    authority, _, path = rest.partition("/")
+    store = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}.get(scheme.lower(), scheme)
+    return f"{store}://{authority}/", path
 
-    return fs.FileSystem.from_uri(arrow_uri(uri))
 
+def filesystem(uri: str):
+    """(pyarrow filesystem, path) of an address, also of one with a scheme that only Hadoop has for the same store."""
+    from pyarrow import fs
 
-def arrow_uri(uri: str) -> str:
-    scheme, found, rest = uri.partition("://")
-    if not found:
-        return f"file://{uri}"
-    return {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}.get(scheme.lower(), scheme) + "://" + rest
+    root, path = arrow_root(uri)
+    if not root:
+        return fs.LocalFileSystem(), path
+    store, base = fs.FileSystem.from_uri(root)
+    return store, f"{base.rstrip('/')}/{path}"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
