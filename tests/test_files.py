@@ -153,6 +153,40 @@ def test_parse_tabular(spark, tmp_path):
     assert sorted(Chain(list_files(spark, f"{tmp_path}/t/*.csv")).parse_tabular(output={"k": int, "n": str}, column="row", nrows=1).to_list("row.k", "row.n")) == [(1, "x")]
 
 
+def test_parse_tabular_types_fit_all_files_and_blocks(spark, tmp_path):
+    from weft import Chain
+
+    for folder, files in {
+        "late": {"a.csv": "k,n,v,e\n", "b.csv": "k,n,v,e\n1,x,2,\n", "c.csv": "n,v,k,e\ny,2.5,7,\n", "d.csv": ""},
+        "blocks": {"a.csv": "k,v,w\n" + "1,,1\n" * 300_000 + '2,"p ""q""\nr",2.5\n'},
+    }.items():
+        (tmp_path / folder).mkdir()
+        for name, text in files.items():
+            (tmp_path / folder / name).write_text(text)
+    late = Chain(list_files(spark, f"{tmp_path}/late/*.csv")).parse_tabular()
+    assert late.df.dtypes == [("k", "bigint"), ("n", "string"), ("v", "double"), ("e", "string")]
+    assert sorted(late.to_list()) == [(1, "x", 2.0, None), (7, "y", 2.5, None)]
+    blocks = Chain(list_files(spark, f"{tmp_path}/blocks/*.csv"))
+    assert blocks.parse_tabular().df.groupBy("k", "v", "w").count().orderBy("k").collect() == [(1, "", 1.0, 300_000), (2, 'p "q"\nr', 2.5, 1)]
+    assert blocks.parse_tabular(output={"k": str, "v": str, "w": float}).df.where("k = '2'").collect() == [("2", 'p "q"\nr', 2.5)]
+
+
+def test_tabular_files_with_an_empty_partition(spark, tmp_path):
+    """The first part that is written may be a header alone."""
+    from weft import queries
+
+    people = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    people.repartition(1).write.option("compression", "none").parquet(f"{tmp_path}/customer.parquet")
+    one = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = queries.queries()["tabular_files"](spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", one)
+    assert got.dtypes == [(n, "bigint" if t == "int" else t) for n, t in people.dtypes]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, people.collect()))
+
+
 def test_explode_sees_keys_of_all_rows(spark):
     from weft import Chain
 
