@@ -82,6 +82,22 @@ def test_union_subtract_diff(spark):
     assert {k: sorted(x.to_values("id")) for k, x in parts.items()} == {"A": [1], "D": [4], "M": [2], "S": [3]}
 
 
+def test_diff_gives_each_row_once_where_keys_repeat(spark):
+    a, b = chain(id=[1, 1, 1, 2, 2, 3, 5, None], v=["a", "b", None, "x", "x", "c", "q", "n"]), chain(id=[1, 1, 1, 2, 2, 4, 4, None, None], v=["a", "z", "z", "x", "x", "d", "d", "n", "m"])
+    got = a.diff(b, on="id", same=True, status_col="s")
+    assert sorted(got.to_list(), key=str) == sorted([(1, "a", "S"), (1, "b", "M"), (1, None, "S"), (2, "x", "S"), (2, "x", "S"), (3, "c", "A"), (5, "q", "A"), (None, "n", "A"), (4, None, "D"), (4, None, "D"), (None, None, "D"), (None, None, "D")], key=str)
+    assert sorted(a.diff(b.mutate(w=F.lit(1)), on="id", added=False, deleted=False, status_col="s").to_values("s")) == ["M"] * 5
+    many = chain(id=[7] * 70_000)
+    assert chain(id=[1]).diff(many, on="id", added=False).count() == 70_000
+
+
+def test_file_diff_status_of_pages_with_one_address(spark, tmp_path):
+    from weft import queries
+
+    spark.createDataFrame([(1, "u", "short"), (2, "u", "short"), (3, "u", "x" * 3001), (4, "u", "y" * 3001), (5, "w", "z")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, queries.queries()["file_diff_status"](spark, str(tmp_path)).collect())) == [("u", "M"), ("u", "M"), ("u", "S"), ("u", "S"), ("w", "S")]
+
+
 def test_group_by_nested_keys(spark):
     c = chain(p=[Pet("x", 1), Pet("x", 2), Pet("y", 3)], n=[1, None, 5])
     g = c.group_by(partition_by="p.name", all=fn.collect("n"), k=fn.count("n"))

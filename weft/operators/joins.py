@@ -89,6 +89,7 @@ def subtract(left: DataFrame, right: DataFrame, on=None, right_on=None) -> DataF
 def diff(left: DataFrame, right: DataFrame, on, right_on=None, compare=None, right_compare=None, added: bool = True, deleted: bool = True, modified: bool = True, same: bool = False, status_col: str | None = None) -> DataFrame:
     """Rows of the left side added to, modified or same as in the right, and deleted ones with their keys alone.
 
+    Each row comes once, also where keys repeat: it is the same if the right side has its key with like values in any row.
     A row is modified where a compared value differs; null against a value does not. Without ``compare`` the common
     columns count, and all matches are modified if the sides have different numbers of columns.
     """
@@ -106,13 +107,21 @@ def diff(left: DataFrame, right: DataFrame, on, right_on=None, compare=None, rig
             raise ValueError("compare and right_compare must name as many columns")
     l, ln = _keyed(left.withColumn("__in_l", F.lit(1)), lk, "l")
     l, lv = _keyed(l, lc, "lv")
-    r = right.select(F.lit(1).alias("__in_r"), *[to_column(k).alias(f"__r{i}") for i, k in enumerate(rk)], *[to_column(c).alias(f"__rv{i}") for i, c in enumerate(rc)])
-    cond = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"__r{i}") for i, n in enumerate(ln)])
+    rn = [f"__r{i}" for i in range(len(rk))]
+    r = right.select(*[to_column(k).alias(n) for k, n in zip(rk, rn)], F.struct(F.lit(1).alias("x"), *[to_column(c).alias(f"v{i}") for i, c in enumerate(rc)]).alias("__rv"))
+    known = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in rn])  # null keys meet no row
+    r = r.groupBy(*rn).agg(F.count("*").alias("__in_r"), F.collect_set(F.when(known, F.col("__rv"))).alias("__rvs"))
+    cond = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in zip(ln, rn)])
     how = "full" if deleted and (added or modified or same) else "right" if deleted else "left"
-    unlike = reduce(lambda a, b: a | b, [F.coalesce(F.col(n) != F.col(f"__rv{i}"), F.lit(False)) for i, n in enumerate(lv)], F.lit(every))
+    like = lambda v: reduce(lambda a, b: a & b, [F.coalesce(F.col(n) == v[f"v{i}"], F.lit(True)) for i, n in enumerate(lv)])
+    unlike = F.lit(True) if every else ~F.exists("__rvs", like) if lv else F.lit(False)
     status = F.when(F.col("__in_r").isNull(), "A").when(F.col("__in_l").isNull(), "D").when(unlike, "M").otherwise("S")
     wanted = [s for s, w in zip("ADMS", (added, deleted, modified, same)) if w]
     both = l.join(r, cond, how).withColumn("__status", status).where(F.col("__status").isin(wanted))
+    if deleted:  # as often as the right side has them, by blocks of 65,536
+        n = F.when(F.col("__status") == "D", F.col("__in_r")).otherwise(F.lit(1))
+        both = both.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(n - 1, 16))))
+        both = both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(1 << 16), n - F.shiftleft("__block", 16)))))
     keys = {k if isinstance(k, str) else getattr(k, "name", None): F.coalesce(F.col(f"__l{i}"), F.col(f"__r{i}")) for i, k in enumerate(lk)}
     out = []
     for f in left.schema:
