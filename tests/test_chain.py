@@ -1,12 +1,14 @@
 import dataclasses
 import sqlite3
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import weft
 from weft import C, Catalog, Chain, read_dataset, read_values
 from weft import functions as fn
+from weft.operators import udf
 from weft.operators.rows import chunk_limit, split_bounds
 from weft.plans.incremental import SchemaDriftError
 
@@ -98,6 +100,23 @@ def test_file_diff_status_of_pages_with_one_address(spark, tmp_path):
     assert sorted(map(tuple, queries.queries()["file_diff_status"](spark, str(tmp_path)).collect())) == [("u", "M"), ("u", "M"), ("u", "S"), ("u", "S"), ("w", "S")]
 
 
+def test_functions_take_pieces_of_batches_and_each_column_once(spark):
+    texts = Chain(spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), F.lit(10_000)).alias("t")))
+    wide = texts.map(n=lambda t: len(t), output=int)
+    assert "__p0" not in wide.df._jdf.queryExecution().optimizedPlan().toString()
+    assert (wide.count(), wide.sum("n"), wide.sum("id"), wide.filter(F.length("t") == 10_000).count()) == (3000, 30_000_000, 3000 * 2999 // 2, 3000)
+    many = texts.gen(n=lambda id, t: [id] * 30, output=int)
+    assert (many.count(), many.sum("n")) == (90_000, 30 * 3000 * 2999 // 2)
+    pets = chain(p=[Pet("x", 1)], n=[1], t=["a"]).df
+    wide, places = udf._wide(pets, ["t", "p.name", "n", "t"])
+    assert (wide.columns, places) == (["p", "n", "t", "__p0"], [2, 3, 1, 2])
+    assert Chain(pets).map(lambda t, name, n: f"{t}{name}{n}", params=["t", "p.name", "n"], output={"z": str}).to_values("z") == ["ax1"]
+    batch = pa.record_batch({"i": list(range(5000)), "t": ["y" * 1000] * 4999 + ["z" * 3_000_000]})
+    parts = list(udf._pieces(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert len(parts) > 5 and all(x.nbytes <= udf.PIECE or x.num_rows == 1 for x in parts)
+
+
 def test_group_by_nested_keys(spark):
     c = chain(p=[Pet("x", 1), Pet("x", 2), Pet("y", 3)], n=[1, None, 5])
     g = c.group_by(partition_by="p.name", all=fn.collect("n"), k=fn.count("n"))

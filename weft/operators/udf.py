@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import inspect
 import typing
+from collections.abc import Iterator
 from contextlib import closing
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -137,24 +139,51 @@ def _mapped(values, kind: T.DataType):
     return list(values)
 
 
-def _params(batch: pa.RecordBatch, first: int, n: int) -> list[tuple]:
-    return list(zip(*[batch.column(first + i).to_pylist() for i in range(n)])) if n else [()] * batch.num_rows
+#: Bytes of Arrow data whose values are Python objects at a time; a batch that Spark sends may have 64 MB.
+PIECE = 1 << 20
+#: Rows that a generator gives before they leave as a batch.
+MANY = 10_000
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of up to PIECE bytes, or of one row."""
+    if batch.num_rows > 1 and batch.nbytes > PIECE:
+        half = batch.num_rows // 2
+        yield from _pieces(batch.slice(0, half))
+        yield from _pieces(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
+
+
+def _wide(df: DataFrame, params: list[str]) -> tuple[DataFrame, list[int]]:
+    """All columns and the parameters, with the parameters' places; those that are columns themselves aren't sent twice."""
+    names, more, places = list(df.columns), [], []
+    for p in params:
+        own = "." not in p and p in names
+        places.append(names.index(p) if own else len(names) + len(more))
+        more += [] if own else [F.col(p).alias(f"__p{len(more)}")]
+    return df.select(*[F.col(f"`{c}`") for c in names], *more), places
+
+
+def _values(batch: pa.RecordBatch, places: list[int]) -> Iterator[tuple]:
+    return zip(*[batch.column(i).to_pylist() for i in places]) if places else iter([()] * batch.num_rows)
 
 
 def map_rows(df: DataFrame, plan: Plan) -> DataFrame:
-    """Adds the function's columns; only its parameters become Python values, the rest pass as Arrow."""
+    """Adds the function's columns; only its parameters become Python values, a piece at a time, the rest pass as Arrow."""
     clash = [c for c in plan.output if c.lower() in {x.lower() for x in df.columns}]
     if clash:
         raise ValueError(f"columns {clash} exist already")
-    width, n = len(df.columns), len(plan.params)
-    wide = df.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(p).alias(f"__p{i}") for i, p in enumerate(plan.params)])
+    width = len(df.columns)
+    wide, places = _wide(df, plan.params)
 
     def run(batches):
         with closing(plan):
             call = plan.caller()
             for batch in batches:
-                rows = [plan.row(call(*v)) for v in _params(batch, width, n)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *plan.arrays(rows)], names=[*df_columns, *plan.output])
+                for piece in _pieces(batch):
+                    rows = [plan.row(call(*v)) for v in _values(piece, places)]
+                    yield pa.RecordBatch.from_arrays([*piece.columns[:width], *plan.arrays(rows)], names=[*df_columns, *plan.output])
 
     df_columns = list(df.columns)
     schema = T.StructType([*df.schema.fields, *plan.fields])
@@ -171,8 +200,10 @@ def generate(df: DataFrame, plan: Plan) -> DataFrame:
         with closing(plan):
             call = plan.caller()
             for batch in batches:
-                rows = [plan.row(x) for v in _params(batch, 0, n) for x in _many(call(*v))]
-                yield pa.RecordBatch.from_arrays(plan.arrays(rows), names=list(plan.output))
+                for piece in _pieces(batch):
+                    rows = (plan.row(x) for v in _values(piece, list(range(n))) for x in _many(call(*v)))
+                    while part := list(islice(rows, MANY)):
+                        yield pa.RecordBatch.from_arrays(plan.arrays(part), names=list(plan.output))
 
     schema = T.StructType(plan.fields)
     del df
@@ -185,9 +216,9 @@ def _many(value) -> list:
 
 def batch_map(df: DataFrame, plan: Plan, batch: int = 1000) -> DataFrame:
     """As ``map_rows``, the function taking lists of up to ``batch`` values and returning as many results."""
-    width, n = len(df.columns), len(plan.params)
+    width = len(df.columns)
     names = list(df.columns)
-    wide = df.select(*[F.col(f"`{c}`") for c in names], *[F.col(p).alias(f"__p{i}") for i, p in enumerate(plan.params)])
+    wide, places = _wide(df, plan.params)
 
     def run(batches):
         with closing(plan):
@@ -195,7 +226,7 @@ def batch_map(df: DataFrame, plan: Plan, batch: int = 1000) -> DataFrame:
             for whole in batches:
                 for at in range(0, whole.num_rows, batch):
                     part = whole.slice(at, batch)
-                    got = list(call(*[part.column(width + i).to_pylist() for i in range(n)], lists=True))
+                    got = list(call(*[part.column(i).to_pylist() for i in places], lists=True))
                     if len(got) != part.num_rows:
                         raise UserCodeError(f"{part.num_rows} results were due, the function returned {len(got)}")
                     yield pa.RecordBatch.from_arrays([*part.columns[:width], *plan.arrays([plan.row(x) for x in got])], names=[*names, *plan.output])
